@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import importable
+from tidemark.llm.bpe import encode_documents
+from tidemark.llm.common import importable, shared_dir
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.quality import classify
+from tidemark.llm.token_store import read_store, write_store
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,9 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:12]}"
+    write_store(table(spark, sf_dir, "documents"), tokenizer(), top)
+    return read_store(spark, top)
+
+
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op5_token_store, op8_bpe_transducer, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
