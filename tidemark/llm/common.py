@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -80,3 +81,24 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         if labels.filter("changed").isEmpty():
             scratch.drop(both)
             return labels.drop("changed")
+
+
+def id_ranges(df: DataFrame, column: str, rows: int, most: int = 4096) -> tuple[list[int], Column]:
+    """Edges of ranges of about so many rows of a long column, and the number of the range of a value.
+
+    There are at most so many edges, each a value that occurs; a range begins with its edge. Values without number and
+    those below the first edge are in range 0. The edges are found with a sketch, sent as one constant, and looked up in
+    two steps of about the square root of their number each.
+    """
+    n = min(most, max(1, -(-df.count() // rows)))
+    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("edges")).first()["edges"] if n > 1 else None
+    edges = sorted(set(found or []))
+    if not edges:
+        return [], F.lit(0)
+    step = int(len(edges) ** 0.5) + 1
+    parts = [edges[i : i + step] for i in range(0, len(edges), step)]
+    fine = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    coarse = F.from_json(F.lit(json.dumps([x[0] for x in parts])), "array<bigint>")
+    group = F.size(F.filter(coarse, lambda x: x <= F.col(column)))
+    within = F.size(F.filter(F.get(fine, group - 1), lambda x: x <= F.col(column)))
+    return edges, F.when(F.coalesce(F.col(column) >= edges[0], F.lit(False)), (group - 1) * step + within).otherwise(0).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import importable, shared_dir
+from tidemark.llm.fingerprint import fingerprints
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import classify
@@ -45,9 +46,13 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op5_token_store, op8_bpe_transducer, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op5_token_store, op8_bpe_transducer, op9_multiset_fingerprint, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}

@@ -22,12 +22,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import Memory, PreTokens
-from tidemark.llm.common import Scratch, importable
+from tidemark.llm.common import Scratch, id_ranges, importable
 
 WINDOW, LEADING, LEAST, MOST = 5, 7, 32, 2048  # a window of 2**5 ids; least and most ids of a chunk
 GEAR = np.random.default_rng(11).integers(0, 2**32, 2**16, dtype=np.uint64).astype(np.uint32)
@@ -128,17 +128,6 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
     return chosen.mapInArrow(run, "doc_id long, data binary, sizes array<int>, names array<binary>")
 
 
-def packs_of(ids: DataFrame, rows: int) -> tuple[int, Column]:
-    """How many packs, and the pack of a doc_id: ranges of about so many rows; null ids are in the first."""
-    n = max(1, -(-ids.count() // rows))
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else None
-    edges = sorted(set(bounds or []))
-    if not edges:
-        return 1, F.lit(0)
-    before = F.filter(F.array(*map(F.lit, edges)).cast("array<long>"), lambda x: x <= F.col("doc_id"))
-    return len(edges) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(before))
-
-
 STORED = "pack int, place int, doc_id long, n_tokens long, sizes array<int>, names array<binary>, common array<binary>, root binary, name binary, data binary"
 
 
@@ -156,8 +145,8 @@ def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: s
     common = common.groupBy("doc_id").agg(F.collect_set("c").alias("common"))
     told = common.select("doc_id", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("array<binary>").alias("names"), "common")
     both = told.union(staged.withColumn("common", F.lit(None).cast(told.schema["common"].dataType)))
-    count, pack = packs_of(staged.select("doc_id"), rows)
-    dealt = both.withColumn("pack", pack).repartitionById(count, "pack").sortWithinPartitions("pack", "doc_id", "data")
+    edges, pack = id_ranges(staged.select("doc_id"), "doc_id", rows)
+    dealt = both.withColumn("pack", pack).repartitionById(len(edges) + 1, "pack").sortWithinPartitions("pack", "doc_id", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that tell a document's common chunks stand before its own row; chunks that it is the first to hold go out as rows."""
