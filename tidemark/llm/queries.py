@@ -5,14 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import importable, shared_dir
 from tidemark.llm.fingerprint import fingerprints
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import classify
 from tidemark.llm.token_store import read_store, write_store
+from tidemark.llm.warc import read_warc, write_warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +31,19 @@ def tokenizer() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    write_warc(table(spark, sf_dir, "pages"), top)
+    found = read_warc(spark, top)
+    same = F.col("payload_digest") == F.col("told")
+    digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
+    return found.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "offset")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "rate", "sampled")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed")
 
@@ -54,5 +70,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op5_token_store, op8_bpe_transducer, op9_multiset_fingerprint, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_boundary_chain, op2_mixing, op3_line_dedup, op4_quality_classifier, op5_token_store, op8_bpe_transducer, op9_multiset_fingerprint, op10_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op2_mixing": mix_sql()}
