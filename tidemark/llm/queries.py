@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import importable, shared_dir
 from tidemark.llm.fingerprint import fingerprints
+from tidemark.llm.html_text import main_text
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import classify
 from tidemark.llm.token_store import read_store, write_store
+from tidemark.llm.top_k import top_k
 from tidemark.llm.warc import read_warc, write_warc
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +60,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, top)
 
 
+def op6_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -70,5 +80,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_boundary_chain, op2_mixing, op3_line_dedup, op4_quality_classifier, op5_token_store, op8_bpe_transducer, op9_multiset_fingerprint, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {"op2_mixing": mix_sql()}
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+QUERIES = {f.__name__: f for f in (op1_warc_boundary_chain, op2_mixing, op3_line_dedup, op4_quality_classifier, op5_token_store, op6_norm_bucket_top_k, op7_tag_path_ratios, op8_bpe_transducer, op9_multiset_fingerprint, op10_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op2_mixing": mix_sql(), "op6_norm_bucket_top_k": TOP_K_SQL}
