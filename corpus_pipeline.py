@@ -1,13 +1,56 @@
-"""A corpus pipeline of operators of tidemark.llm."""
+"""From raw documents to token ids: five stages of tidemark.llm, each working on all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.bpe import encode_documents
+from tidemark.llm.common import Scratch
+from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.quality import classify
+from tidemark.llm.queries import table, tokenizer
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the blocks of lines that an earlier document has; those of which nothing is left go."""
+    cut = dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    left = cut.filter(~changed | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    gone = near_duplicates(docs).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards flatter shares of sources, languages and topics."""
+    return mix(docs).filter("sampled").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and the digest of what they decode to."""
+    return encode_documents(docs, tokenizer(), outputs=("n_tokens", "ids", "decoded_sha256"), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("tokens", tokens)]
+#: Training, alignment and tokenizing aren't expressible in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again before the next."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
