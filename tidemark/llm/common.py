@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +64,41 @@ class Scratch:
             self.delete(path)
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, comp): the least node that each node of edges (a, b: long) reaches.
+ONE_TASK = 1 << 19
 
-    Each round takes the least label of the neighbours and then that label's own label, so paths shorten by half; it ends
-    when no label changes. Only nodes with an edge take part.
+
+def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges given, by union and find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
+def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, comp): the least node that each node of edges (a, b: long) reaches. Only nodes with an edge take part.
+
+    Up to one_task edges, which are counted first, are joined up in one task. More are in rounds: each takes the least
+    label of the neighbours and then that label's own label, so paths shorten by half, until no label changes.
     """
-    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    own = scratch.save(edges.select("a", "b"), "edges")
+    if own.count() <= one_task:
+        labels = scratch.save(own.coalesce(1).mapInArrow(joined_up, "node long, comp long"), "labels")
+        scratch.drop(own)
+        return labels
+    both = scratch.save(own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    scratch.drop(own)
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumn("changed", F.lit(True)), "labels")
     while True:
         told = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("seen"))

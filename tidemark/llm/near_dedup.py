@@ -7,11 +7,13 @@
    than m values that any other class has is done. The others order their values from the rarest list to the most
    frequent and post only the first k - m + 1 of them (the prefix): two classes that agree in m values meet in it. The
    m - 1 most frequent values of each class, where passages that many documents share end up, are skipped.
-3. Every list links its members to its least member: candidates that agree in m coordinates are confirmed on the full
-   shingle sets, and the links give components. Lists whose members are in one component then need nothing more.
-4. In the other lists, members outside the component of the list's least member are compared with all members of other
-   components, in blocks of bounded size, by signature; candidates are confirmed on full sets as before. First the best
-   candidates of each member, then, between what is still apart, all. So no link between components is lost, and a group of n copies costs about n pairs, not n squared.
+3. Every list links its members to one of them, the pivot: candidates that agree in m coordinates are confirmed on the full
+   shingle sets, and the links give components. Lists whose members are in one component need nothing more; the others
+   get another pivot among the members outside the largest component, a few times. So a group of n copies costs some n pairs, not n squared.
+4. What shares lists and is still apart forms neighbourhoods. Their members outside the neighbourhood's largest component
+   are compared with all its members, in blocks of bounded size: an inverted index of a block's full shingle sets counts
+   one member's intersections with all of the block at once, and only links leave the block. No link between components
+   is lost, then, and no pair of one is asked for.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from xxhash import xxh3_64_intdigest
 from tidemark.llm.common import Scratch, components
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
-ROWS = 256  # of a block of comparisons
+LEFT, RIGHT = 256, 1024  # members on either side of a block of comparisons
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -134,38 +136,67 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, m: int, best: int | None) -> DataFrame:
-    """Pairs (a, b) of one list and different components whose signatures agree in m coordinates; best: so many for each a at most in a block."""
-    key = ["at", "value"]
-    named = lists.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = named.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min_by("comp", "cls").alias("home"))
-    rest = named.join(open_.filter("lo < hi").drop("lo", "hi"), key)
-    outer = rest.filter("comp != home").groupBy(key).agg(F.count("*").alias("r"))
-    rest = rest.join(outer, key).withColumns({"br": F.ceil(F.col("r") / ROWS).cast("int"), "bn": F.ceil(F.col("n") / (16 * ROWS)).cast("int")}).join(classes.select("cls", "sig"), "cls")
-    spread = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
-    left = rest.filter("comp != home").select(*key, spread("br").alias("i"), F.explode(F.sequence(F.lit(0), F.col("bn") - 1)).alias("j"), F.lit(True).alias("left"), "cls", "comp", "sig")
-    right = rest.select(*key, F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("i"), spread("bn").alias("j"), F.lit(False).alias("left"), "cls", "comp", "sig")
+def named(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with each member's component, without the lists whose members are all in one."""
+    own = lists.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    open_ = own.groupBy("at", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return own.join(open_, ["at", "value"])
+
+
+def star(open_: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of a pivot of each list, outside the list's highest component, and its members in other components."""
+    order = F.when(F.col("comp") < F.col("hi"), F.xxhash64(F.lit(salt), "cls"))
+    pivot = open_.groupBy("at", "value").agg(F.min(order).alias("order"))
+    hit = open_.filter("comp < hi").select("at", "value", F.xxhash64(F.lit(salt), "cls").alias("order"), F.col("cls").alias("pivot"), F.col("comp").alias("home"))
+    pairs = open_.join(pivot.join(hit, ["at", "value", "order"]), ["at", "value"]).filter("comp != home")
+    return pairs.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
+
+
+def neighbourhoods(scratch: Scratch, open_: DataFrame) -> DataFrame:
+    """(cls, comp, g, outer, left, right): members of each neighbourhood g, whether outside its largest component, and how many blocks they make."""
+    near = open_.select(F.col("lo").alias("a"), F.col("comp").alias("b")).filter("a < b").distinct()
+    groups = components(scratch, near).select(F.col("node").alias("comp"), F.col("comp").alias("g"))
+    members = open_.select("cls", "comp").distinct().join(groups, "comp")
+    size = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    whole = size.groupBy("g").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max(F.struct("n", "comp")).alias("m")).select("g", "all", (F.col("all") - F.col("most")).alias("rest"), F.col("m.comp").alias("home"))
+    blocks = {"outer": F.col("comp") != F.col("home"), "left": F.ceil(F.col("rest") / LEFT).cast("int"), "right": F.ceil(F.col("all") / RIGHT).cast("int")}
+    return members.join(whole, "g").withColumns(blocks).select("cls", "comp", "g", *blocks)
+
+
+def between(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components of one neighbourhood."""
+    full = members.join(texts, "cls")
+    spread = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = full.filter("outer").select("g", spread("left").alias("i"), every("right").alias("j"), F.lit(True).alias("x"), "cls", "comp", "text")
+    y = full.select("g", every("left").alias("i"), spread("right").alias("j"), F.lit(False).alias("x"), "cls", "comp", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("left").to_numpy()
+        side = table.column("x").to_numpy()
         cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(len(cls), -1)
-        x, y = np.flatnonzero(side), np.flatnonzero(~side)
-        a, b = [], []
-        for i in x:
-            same = (sig[y] == sig[i]).sum(axis=1)
-            hit = np.flatnonzero((same >= m) & (comp[y] != comp[i]))
-            if best is not None:
-                hit = hit[np.lexsort((cls[y[hit]], -same[hit]))[:best]]
-            a.append(np.full(len(hit), cls[i]))
-            b.append(cls[y[hit]])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        sets = [shingles(t.as_py(), width) for t in table.column("text")]
+        y = np.flatnonzero(~side)
+        size = np.array([len(sets[i]) for i in y], np.int64)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(y):
+            all_ = np.concatenate([sets[i] for i in y])
+            order = np.argsort(all_, kind="stable")
+            all_, owner = all_[order], np.repeat(np.arange(len(y)), size)[order]
+            for i in np.flatnonzero(side):
+                lo, hi = np.searchsorted(all_, sets[i], "left"), np.searchsorted(all_, sets[i], "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(y))
+                hit = y[(100 * both >= percent * (len(sets[i]) + size - both)) & (comp[y] != comp[i])]
+                a.append(np.full(len(hit), cls[i]))
+                b.append(cls[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return left.union(right).groupBy(*key, "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return x.union(y).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 64, m: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 64, m: int = 32, rounds: int = 3) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of each row of docs; kept marks the least id of a component.
 
     Null or empty texts and texts without words have no shingles and link with nothing. A row without id has a null
@@ -185,15 +216,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = wanted.join(home.select("id").distinct(), "id", "left_semi")
     texts = scratch.save(classed(again, width).join(met, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")), "texts")
 
-    star = lists.join(lists.groupBy("at", "value").agg(F.min("cls").alias("a")), ["at", "value"]).filter("a < cls").select("a", F.col("cls").alias("b")).distinct()
-    links = scratch.save(confirmed(scratch.save(agreeing(star, classes, m), "pairs"), texts, width, percent), "links")
-    labels = components(scratch, links)
-    for best in (2, None):
-        pairs = scratch.save(apart(lists, labels, classes, m, best), "pairs")
-        if pairs.isEmpty():
-            break
-        links = scratch.save(links.union(confirmed(pairs, texts, width, percent)).distinct(), "links")
+    links, labels = None, classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
+    for salt in range(rounds):
+        open_ = scratch.save(named(lists, labels), "open")
+        found = confirmed(scratch.save(agreeing(star(open_, salt), classes, m), "pairs"), texts, width, percent)
+        links = scratch.save(found if links is None else links.union(found), "links")
         labels = components(scratch, links)
+    open_ = scratch.save(named(lists, labels), "open")
+    links = scratch.save(links.union(between(scratch.save(neighbourhoods(scratch, open_), "members"), texts, width, percent)), "links")
+    labels = components(scratch, links)
 
     own = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = own.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).filter("size > 1")
