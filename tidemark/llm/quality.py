@@ -17,68 +17,75 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh32_intdigest
 
 from tidemark.llm.common import importable
 
 BITS, DIM, SIZES = 18, 12, (2, 3, 4)
-PAIR = np.uint64(0x9E3779B97F4A7C15)
-ALWAYS, AGAIN = (xxh32_intdigest(x, seed=1) & (2**BITS - 1) for x in (b"always", b"again"))
-
-
-class Words(dict):
-    """word -> its place in columns: hash, feature rows and, given a table, the sum of the rows' numbers and their count."""
-
-    LIMIT = 150_000  # words, after which a new one is begun; no result depends on it
-
-    def __init__(self, table: np.ndarray | None = None):
-        super().__init__()
-        self.table, self.rows = table, []
-        self.hashes, self.total, self.count = np.empty(1024, np.uint64), np.empty(1024), np.empty(1024)
-
-    def __missing__(self, word: str) -> int:
-        marked, mask, n = f"<{word}>".encode("utf-32-le"), 2**BITS - 1, len(self)
-        h = xxh3_64_intdigest(marked)
-        rows = [h & mask, *(xxh32_intdigest(marked[i : i + 4 * k], seed=k) & mask for k in SIZES for i in range(0, len(marked) - 4 * k + 1, 4))]
-        if n == len(self.hashes):
-            self.hashes, self.total, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.total, self.count))
-        self.hashes[n] = h
-        if self.table is None:
-            self.rows.append(rows)
-        else:
-            self.total[n], self.count[n] = self.table[rows].sum(), len(rows)
-        self[word] = n
-        return n
-
-
-def features(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a text's words, and rows of its pairs and patterns."""
-    found = (text or "").split()
-    at = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
-    h = words.hashes[at]
-    pair = h[:-1] * PAIR + h[1:]
-    pair = ((pair ^ (pair >> np.uint64(32))) & np.uint64(2**BITS - 1)).astype(np.int64)
-    again = np.full(4 * int((h[:-1] == h[1:]).sum()), AGAIN)
-    return at, np.concatenate([pair, again, [ALWAYS]])
+ALWAYS, AGAIN = 0, 1  # rows of the features of every text, and of a word that follows itself
+BLOCK = 1 << 20
+K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(15))) * K[1]
+    return x ^ (x >> np.uint32(13))
+
+
+def rows(x: np.ndarray, kind: int) -> np.ndarray:
+    """Table rows of 32-bit hashes; each kind of feature is hashed differently."""
+    return mixed((x ^ np.uint32(kind * 0x1F123BB5 & 0xFFFFFFFF)) * K[2]) >> np.uint32(32 - BITS)
+
+
+def features(text: str | None) -> np.ndarray:
+    """The table row of every feature of a text, repeats included; texts beyond BLOCK code points are cut at a space."""
+    out, text = [np.array([ALWAYS], np.uint32)], text or ""
+    while len(text) > BLOCK:
+        at = text.rfind(" ", 1, BLOCK)
+        at = at if at > 0 else BLOCK
+        out.append(block_features(text[:at]))
+        text = text[at:]
+    return np.concatenate([*out, block_features(text)])
+
+
+def block_features(text: str) -> np.ndarray:
+    c = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32).copy()
+    space = (c <= 32) | (c == 0xA0)
+    c[space] = 32
+    out, h = [], c
+    for n in SIZES:
+        h = h[:-1] * K[0] + c[n - 1 :]
+        inner = [space[k : len(h) + k] for k in (range(1, n - 1) if n > 2 else range(2))]
+        skip = inner[0] & inner[1] if n == 2 else np.logical_or.reduce(inner)
+        out.append(rows(h[~skip], n))
+    start = np.flatnonzero(~space[1:] & space[:-1]) + 1
+    if len(start):
+        place = np.arange(len(c), dtype=np.uint32)
+        first = np.zeros(len(c), np.int32)
+        first[start] = 1
+        word = np.cumsum(first) - 1
+        place -= start.astype(np.uint32)[np.maximum(word, 0)]
+        part = mixed(c * K[3] + place * K[0])
+        part[space] = 0
+        w = np.add.reduceat(part, start, dtype=np.uint32)
+        again = np.full(4 * int((w[:-1] == w[1:]).sum()), AGAIN, np.uint32)
+        out += [rows(w, 5), rows(w[:-1] * K[0] + w[1:], 6), again]
+    return np.concatenate(out)
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: float = 0.5, seed: int = 3) -> np.ndarray:
     """The number of each row of the table: its share in the log odds of label 1."""
-    rng, words = np.random.default_rng(seed), Words()
+    rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (2**BITS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, 2), np.float32)
     docs = []
     for text in texts:
-        at, more = features(text, words)
-        rows, n = np.unique(np.concatenate([np.fromiter((r for i in at for r in words.rows[i]), np.int64), more]), return_counts=True)
-        docs.append((rows, (n / n.sum()).astype(np.float32)))
-        if len(words) > Words.LIMIT:
-            words = Words()
+        found, n = np.unique(features(text), return_counts=True)
+        docs.append((found, (n / n.sum()).astype(np.float32)))
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            rows, share = docs[i]
-            mean = share @ table[rows]
+            own, share = docs[i]
+            mean = share @ table[own]
             z = mean @ layer
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -86,7 +93,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: flo
             step = rate * (1 - done / steps)
             down = layer @ p
             layer -= step * np.outer(mean, p)
-            table[rows] -= (step * len(rows) ** 0.5) * np.outer(share, down)
+            table[own] -= (step * len(own) ** 0.5) * np.outer(share, down)
             done += 1
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
 
@@ -120,16 +127,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value.astype(np.float64)
-        words = Words(table)
         for texts in batches:
-            out = []
-            for text in texts:
-                at, more = features(text, words)
-                z = (words.total[at].sum() + table[more].sum()) / (words.count[at].sum() + len(more))
-                out.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-                if len(words) > Words.LIMIT:
-                    words = Words(table)
-            yield pd.Series(out, dtype="float64")
+            z = np.array([table[features(text)].mean() for text in texts])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))), dtype="float64")
 
     scored = F.pandas_udf(score, "double")(F.col(text_col))
     out = docs.withColumn("held_out", F.coalesce(outside == held, F.lit(False))).withColumn("score", scored)
