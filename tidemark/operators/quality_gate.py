@@ -52,7 +52,7 @@ def normalize_ratings(df: DataFrame, column: str) -> DataFrame:
     scale = valued.agg(F.percentile("__v", 0.99).alias("__top"))
     v, top = F.col("__v"), F.col("__top")
     even = F.when(top > 10, 1 + v / 100 * 4).when(top > 5, 1 + (v - 1) / 9 * 4).otherwise(v)
-    rating = F.coalesce(F.bround(F.least(F.greatest(even, F.lit(1.0)), F.lit(5.0))).cast("int"), F.lit(3))
+    rating = F.when(v.isNull(), 3).otherwise(F.bround(F.least(F.greatest(even, F.lit(1.0)), F.lit(5.0))).cast("int"))
     return valued.crossJoin(F.broadcast(scale)).withColumn("rating", rating).drop("__v", "__top")
 
 
