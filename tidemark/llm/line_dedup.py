@@ -77,21 +77,26 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def cut_lines(earlier: list[int], later: list[int], words: list[int], least: int) -> set[int]:
-    """Positions in later of the common blocks of at least so many words."""
-    later, cut = list(later), set()
-    while True:
-        block, total, new, prior = [], 0, [], (-2, -2)
-        for i, j in [*patience(earlier, later), (-9, -9)]:
-            if (i - 1, j - 1) != prior:
-                if total >= least:
-                    new += block
-                block, total = [], 0
-            block, total, prior = [*block, j] if j >= 0 else block, total + words[j] if j >= 0 else 0, (i, j)
-        if not new:
-            return cut
-        cut.update(new)
-        for j in new:
-            later[j] = -1 - j  # hashes are not negative: equal to nothing
+    """Positions in later of the common blocks of at least so many words.
+
+    After each alignment, lines of blocks are taken out of later and lines that were matched outside of one out of earlier,
+    so that what they kept apart is aligned next. Hashes are not negative, and a negative number is equal to nothing.
+    """
+    earlier, later, cut = list(earlier), list(later), set()
+    while pairs := patience(earlier, later):
+        block: list[tuple[int, int]] = []
+        for pair in [*pairs, (-9, -9)]:
+            if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
+                if sum(words[j] for _, j in block) >= least:
+                    for _, j in block:
+                        later[j] = -1 - j
+                        cut.add(j)
+                else:
+                    for i, _ in block:
+                        earlier[i] = -1 - len(later) - i
+                block = []
+            block.append(pair)
+    return cut
 
 
 def probes(shared: list[tuple[int, int, int, int]], words: list[int], least: int) -> set[tuple[int, int]]:
