@@ -21,8 +21,10 @@ def clean(stream: DataFrame, text: str, stamp: str, late: str = "1 hour") -> Dat
     return passed.withWatermark(stamp, late).dropDuplicatesWithinWatermark(["__k"]).drop("__k")
 
 
-def windowed(stream: DataFrame, stamp: str, theme: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(stamp, late).groupBy(F.window(stamp, width).alias("w"), theme).agg(F.count("*").alias("n")).select(F.col("w.start").alias("cohort"), theme, "n")
+def windowed(stream: DataFrame, stamp: str, theme: str, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Counts of each window and theme. late: the watermark of a stream that has none yet; a cleaned one has."""
+    own = stream.withWatermark(stamp, late) if late else stream
+    return own.groupBy(F.window(stamp, width).alias("w"), theme).agg(F.count("*").alias("n")).select(F.col("w.start").alias("cohort"), theme, "n")
 
 
 def drift_sink(path: str, theme: str) -> Callable[[DataFrame, int], None]:
