@@ -7,7 +7,7 @@ The transducer holds a piece of a pre-token of about that size, emits tokens onc
 so its memory doesn't grow with the text.
 
 Text becomes pre-tokens as the tokenizers library makes them: special tokens in the text as they stand, NFC, lower case,
-white space dropped. Short pre-tokens are remembered with their ids, up to a number of them.
+white space dropped. Short words between spaces and short pre-tokens are remembered with their ids, up to a number of them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, repeat
 
 import pyarrow as pa
 import regex
@@ -64,10 +64,14 @@ class PreTokens:
         self.known |= new
         return True
 
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special tokens."""
-        if self.settled(text):
-            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def low(self, text: str) -> str | None:
+        """A text as it is split: in NFC and lower case, letter by letter; null if the library has to be asked for it."""
+        if not self.settled(text):
+            return None
+        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+
+    def asked(self, text: str) -> list[str]:
+        """Pre-tokens of a text by the library, for characters that not every Unicode version knows."""
         if not self.library:
             from tokenizers import Tokenizer
 
@@ -75,13 +79,16 @@ class PreTokens:
         text = self.library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> Iterator[list[str] | int]:
-        """Lists of pre-tokens and ids of special tokens, in the order of the text."""
+    def pieces(self, text: str) -> Iterator[str | int]:
+        """Special tokens' ids and the texts between them, in order."""
         for part in self.parts.split(text) if "<|" in text else [text]:
-            if part in self.special:
-                yield self.special[part]
-            elif part:
-                yield self.words(part)
+            if part:
+                yield self.special.get(part, part)
+
+
+def spaced(low: str) -> list[str]:
+    """A text cut at spaces and line ends, where no pre-token goes on; other white space stays inside."""
+    return low.replace("\n", " ").split(" ")
 
 
 class Merges:
@@ -118,7 +125,7 @@ class Merges:
     def merged(self, ids: list[int]) -> list[int]:
         """Always the leftmost pair of the lowest rank."""
         rank, made = self.rank, self.made
-        ranks = [rank.get(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+        ranks = list(map(rank.get, zip(ids, ids[1:], strict=False), repeat(NONE)))
         while ranks and (low := min(ranks)) < NONE:
             i = ranks.index(low)
             ids[i : i + 2] = [made[low]]
@@ -156,18 +163,21 @@ class Transducer:
 
 
 class Memory(dict):
-    """pre-token -> ids, of the last so many short pre-tokens met; the rest are computed anew."""
+    """word -> ids of short words, of two generations: when the young one is full it becomes the old one, from which words come back."""
 
-    LIMIT, LONGEST = 300_000, 48
+    LIMIT, LONGEST = 120_000, 48
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.compute(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.compute(word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.LIMIT:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -178,21 +188,24 @@ class Encoder:
         self.pre = PreTokens(path)
         self.merges = Merges(self.pre.file["model"])
         self.memory = Memory(self.word)
+        self.near = Memory(lambda w: tuple(chain.from_iterable(map(self.memory.__getitem__, self.pre.pattern.findall(w)))))
 
     def word(self, word: str) -> tuple[int, ...]:
-        t = Transducer(self.merges)
-        if len(word) <= Memory.LONGEST:
-            t.held = word.encode()
-            return tuple(t.finish())
-        return (*t.feed(word.encode()), *t.finish())
+        data, m = word.encode(), self.merges
+        if len(data) <= Transducer.BLOCK:  # all of it is within the lookahead
+            return tuple(m.merged([*map(m.inner.__getitem__, data[:-1]), m.final[data[-1]]]))
+        t = Transducer(m)
+        return (*t.feed(data), *t.finish())
 
     def __call__(self, text: str | None) -> list[int]:
         out: list[int] = []
         for piece in self.pre.pieces(text or ""):
             if isinstance(piece, int):
                 out.append(piece)
+            elif (low := self.pre.low(piece)) is not None:
+                out += chain.from_iterable(map(self.near.__getitem__, spaced(low)))
             else:
-                out += chain.from_iterable(map(self.memory.__getitem__, piece))
+                out += chain.from_iterable(map(self.memory.__getitem__, self.pre.asked(piece)))
         return out
 
 
