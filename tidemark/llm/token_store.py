@@ -16,6 +16,7 @@ before its own and, within its pack, in the documents before it.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from hashlib import sha256
 from zlib import crc32
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Memory, PreTokens
+from tidemark.llm.bpe import END, Memory, PreTokens, spaced
 from tidemark.llm.common import Scratch, id_ranges, importable
 
 WINDOW, LEADING, LEAST, MOST = 5, 7, 32, 2048  # a window of 2**5 ids; least and most ids of a chunk
@@ -60,44 +61,72 @@ def merkle(names: list[bytes]) -> bytes:
 
 
 class Library:
-    """Ids of texts by the tokenizers library, which is asked once for each pre-token that is remembered.
+    """Ids of texts by the tokenizers library, which is asked once for each pre-token that is remembered, as are words between spaces.
 
     Pre-tokens are encoded apart from each other, so their ids side by side are those of the text. Texts whose lower case
     could be composed further, which the library does not do but would on a second pass, go to it whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of the library would only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pre = Tokenizer.from_file(path), PreTokens(path)
+        self.pre.file = None
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.near: dict[str, bytes] = {}
         self.memory: dict[str, bytes] = {}
+        self.old: list[dict[str, bytes]] = [{}, {}]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(END) or x in self.pre.special]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words: of their pre-tokens that aren't remembered, side by side in one text; each one's last token ends a word."""
+        parts = {w: self.pre.pattern.findall(w) for w in words}
+        new = []
+        for x in set().union(*parts.values()).difference(self.memory):
+            if (data := self.old[1].get(x)) is None:
+                new.append(x)
+            else:
+                self.memory[x] = data
+        longer = {}
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+            data, last = ids.tobytes(), 0
+            for x, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist(), strict=True):
+                (self.memory if len(x) <= Memory.LONGEST else longer)[x] = data[last:end]
+                last = end
+        get = {**self.memory, **longer}.__getitem__ if longer else self.memory.__getitem__
+        return {w: b"".join(map(get, p)) for w, p in parts.items()}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         import unicodedata
 
         split: list[list[str] | None] = []
         for text in texts:
-            if "<|" in text or not self.pre.settled(text):
-                split.append(None)
-                continue
-            low = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            low = low.lower()
-            split.append(self.pre.pattern.findall(low) if low.isascii() or unicodedata.is_normalized("NFC", low) else None)
+            low = None if "<|" in text else self.pre.low(text)
+            split.append(None if low is None or not (low.isascii() or unicodedata.is_normalized("NFC", low)) else spaced(low))
+        if len(self.near) > Memory.LIMIT:
+            self.old[0], self.near = self.near, {}
         if len(self.memory) > Memory.LIMIT:
-            self.memory.clear()
-        memory = self.memory
-        new = [x for x in set().union(*filter(None, split)) if x not in memory]
-        longer = {}
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (memory if len(x) <= Memory.LONGEST else longer)[x] = np.array(e.ids, self.kind).tobytes()
-        get = {**memory, **longer}.__getitem__ if longer else memory.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+            self.old[1], self.memory = self.memory, {}
+        found = [s and list(map(self.near.get, s)) for s in split]
+        missing = {w for s, f in zip(split, found, strict=True) if f and None in f for w, x in zip(s, f, strict=True) if x is None}
+        learnt = {w: self.old[0][w] for w in missing if w in self.old[0]}
+        learnt |= self.learn(missing.difference(learnt))
+        self.near.update((w, x) for w, x in learnt.items() if len(w) <= Memory.LONGEST)
+        out = []
+        for text, s, f in zip(texts, split, found, strict=True):
+            if s is None:
+                out.append(self.whole(text))
+            else:
+                out.append(b"".join([learnt[w] if x is None else x for w, x in zip(s, f, strict=True)] if None in f else f))
+        return out
 
 
 LOADED: dict[str, Library] = {}
@@ -223,8 +252,10 @@ def read_store(spark, top: str, ids: bool = False) -> DataFrame:
                     streams.append(stream.astype(np.int32) if ids else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary()), pa.array(crcs, pa.int64()), pa.array(streams, pa.list_(pa.int32()))], names=["pack", "place", "doc_id", "n_tokens", "root", "ids_crc32", "ids"])
 
-    joined = docs.join(fetched, ["pack", "place"], "left").select("pack", "place", "doc_id", "n_tokens", "sizes", "names", "common", "root", "data", "parts")
-    rows = scratch.save(joined.mapInArrow(run, "pack int, place int, doc_id long, n_tokens long, root binary, ids_crc32 long, ids array<int>"), "rows")
+    names = ["pack", "place", "doc_id", "n_tokens", "sizes", "names", "common", "root", "data", "parts"]
+    inline = docs.filter(F.size("common") == 0).withColumn("parts", F.lit(None).cast(fetched.schema["parts"].dataType))
+    whole = inline.select(*names).union(docs.filter(F.size("common") > 0).join(fetched, ["pack", "place"], "left").select(*names))
+    rows = scratch.save(whole.mapInArrow(run, "pack int, place int, doc_id long, n_tokens long, root binary, ids_crc32 long, ids array<int>"), "rows")
     scratch.drop(fetched)
     manifest = spark.read.parquet(f"{top}/manifest")
     now = packs(rows).select("pack", F.col("packroot").alias("seen"))
