@@ -171,8 +171,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = scratch.save(partners(outline, least), "pairs")
     cut = scratch.save(cuts(outline, pairs, least), "cuts")
     scratch.drop(outline, pairs)
+    # the cuts grow with the corpus, so they are joined in the same way at every size: never sent to all tasks
     key = {"__d": F.col(id_col).cast("long"), "__t": F.xxhash64(text_col)}
-    joined = docs.withColumns(key).join(cut.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("cut").alias("__cut")), ["__d", "__t"], "left")
+    joined = docs.withColumns(key).join(cut.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("cut").alias("__cut")).hint("merge"), ["__d", "__t"], "left")
     left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__cut", i)), "\n")
     new = {text_col: F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left), "n_removed": F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")), "removed": F.coalesce("__cut", F.array().cast("array<int>"))}
     return joined.withColumns(new).select(*[c for c in docs.columns if c not in ("n_removed", "removed")], "n_removed", "removed")
