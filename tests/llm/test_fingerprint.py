@@ -66,3 +66,13 @@ def test_one_document_is_its_own_next(spark):
 def test_very_long_text(spark):
     r = run(spark, [(1, "word. " * 200_000), (2, "x")])
     assert {x.n_chars for x in r} == {1_200_000, 1}
+
+
+def test_likeness_of_very_many_sentences(spark):
+    some = lambda name, n: ". ".join(f"{name}{i}" for i in range(n))
+    texts = [some("a", 150_000), some("b", 150_000), some("a", 75_000), "one\n" * 70_000, "two\n" * 70_000, "one\n" * 60_000]
+    df = summed(spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(6), ["k"], "t")
+    lanes = {r.k: r.lanes for r in df.collect()}
+    pairs = spark.createDataFrame([(i, j, lanes[i], lanes[j]) for i, j in ((0, 1), (0, 2), (3, 4), (3, 5))], "i int, j int, a array<long>, b array<long>")
+    got = {(r.i, r.j): r.l for r in pairs.select("i", "j", likeness(F.col("a"), F.col("b")).alias("l")).collect()}
+    assert got[0, 1] < 0.4 and 0.5 < got[0, 2] < 0.9 and got[3, 4] < 0.4 and got[3, 5] > 0.99

@@ -1,13 +1,13 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
 A paragraph (a line of a text) is hashed to a wide vector, and a document's fingerprint is the sum of its paragraphs'
-vectors, lane by lane, modulo powers of two. So the order of paragraphs doesn't matter, and a paragraph is inserted or
+vectors, lane by lane, modulo 2**32. So the order of paragraphs doesn't matter, and a paragraph is inserted or
 deleted by adding or subtracting its vector (`combined`). A vector has three kinds of lanes:
 
-* 8 lanes modulo 2**32, seeded hashes of the whole paragraph: equal sums mean equal multisets of paragraphs, but for chance;
-* 1 lane modulo 2**32, the number of its sentences;
-* 128 lanes modulo 2**16, the sums of the bits of two seeded hashes over its sentences. Twice such a lane less the number of
-  sentences is a sum of random signs, so the product of two documents' lanes estimates how many sentences they have in
+* 8 lanes, seeded hashes of the whole paragraph: equal sums mean equal multisets of paragraphs, but for chance;
+* 1 lane, the number of its sentences;
+* 128 lanes, the sums of the bits of two seeded hashes over its sentences. Twice such a lane less the number of sentences is
+  a sum of random signs, which the modulus leaves exact for texts of under 2**31 sentences, so the product of two documents' lanes estimates how many sentences they have in
   common, whatever their lengths; over both lengths it is the likeness, 0 where it is negative, with an error of about
   1 / sqrt(128).
 
@@ -25,7 +25,7 @@ from tidemark.llm.common import id_ranges
 
 WHOLE, HASHES, SHIFTS = 8, 2, 32
 FIELDS = 0x0000000100000001  # two lanes are summed in one long
-LOW, SHORT = (1 << 32) - 1, (1 << 16) - 1
+LOW = (1 << 32) - 1
 LANES = WHOLE + 1 + 2 * HASHES * SHIFTS
 
 
@@ -41,26 +41,26 @@ def summed(texts: DataFrame, key: list[str], text: str) -> DataFrame:
     bits = [F.sum(F.shiftrightunsigned(f"h{i}", k).bitwiseAND(F.lit(FIELDS))).alias(f"b{i}_{k}") for i in range(HASHES) for k in range(SHIFTS)]
     sums = unit.groupBy(*key).agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(WHOLE)), F.sum((~F.col("whole")).cast("long")).alias("n"), *bits)
     low = [F.col(f"w{i}").bitwiseAND(F.lit(LOW)) for i in range(WHOLE)]
-    fields = [F.shiftrightunsigned(f"b{i}_{k}", s).bitwiseAND(F.lit(SHORT)) for i in range(HASHES) for k in range(SHIFTS) for s in (0, 32)]
+    fields = [F.shiftrightunsigned(f"b{i}_{k}", s).bitwiseAND(F.lit(LOW)) for i in range(HASHES) for k in range(SHIFTS) for s in (0, 32)]
     return sums.select(*key, F.array(*low, F.col("n").bitwiseAND(F.lit(LOW)), *fields).alias("lanes"))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of the sum (sign 1) or difference (sign -1) of two multisets, from theirs."""
-    both = F.zip_with(a, b, lambda x, y: x + sign * y)
-    return F.transform(both, lambda x, i: F.when(i <= WHOLE, x.bitwiseAND(F.lit(LOW))).otherwise(x.bitwiseAND(F.lit(SHORT))))
+    return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(F.lit(LOW)))
 
 
 def written(lanes: Column) -> Column:
-    """A fingerprint in hexadecimal, 8 digits for each of the first 9 lanes and 4 for each of the others."""
-    return F.array_join(F.transform(lanes, lambda x, i: F.lpad(F.hex(x), F.when(i <= WHOLE, 8).otherwise(4), F.lit("0"))), "")
+    """A fingerprint in hexadecimal, 8 digits for each lane."""
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two multisets, from their lanes, 0 to 1; equal lanes give 1."""
 
     def signs(x: Column) -> Column:
-        return F.transform(F.slice(x, WHOLE + 2, LANES), lambda v: (2 * v - F.element_at(x, WHOLE + 1)).cast("double"))
+        half = 1 << 31
+        return F.transform(F.slice(x, WHOLE + 2, LANES), lambda v: ((2 * v - F.element_at(x, WHOLE + 1) + half).bitwiseAND(F.lit(LOW)) - half).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
