@@ -73,3 +73,13 @@ def test_very_long_text(spark):
     text = "\n".join(f"line {i} has five words" for i in range(60_000))
     got = run(spark, [(1, text), (2, "own\n" + text + "\nown")])
     assert got == {(1, 0, text), (2, 60_000, "own\nown")}
+
+
+def test_blocks_of_lines_with_other_first_holders(spark):
+    rng = random.Random(7)
+    x, y = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(2))
+    rows = [(0, x), (1, y), (2, f"{x}\n{y}"), (3, f"own\n{x}\n{y}\nend"), (4, f"{y}\n{x}")]
+    assert run(spark, rows) == {(0, 0, x), (1, 0, y), (2, 0, rows[2][1]), (3, 2, "own\nend"), (4, 0, rows[4][1])}
+    first = [" ".join(f"{p}{i}" for i in range(n)) for p, n in (("a", 49), ("b", 2), ("c", 1))]
+    text = "\n".join(first)  # the last line is in no window from the first line on
+    assert run(spark, [(0, "\n".join(first[:2])), (1, text), (2, text)]) == {(0, 0, "\n".join(first[:2])), (1, 2, first[2]), (2, 3, "")}

@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
 1. Every document becomes its outline: a hash and a word count for each line.
-2. A line that several documents hold points to the first of them. A run of consecutive shared lines with enough words
-   for a block makes the document overlap with the first holders of the run's rare lines. Rare is measured against the
-   run: a line counts if no neighbour that points elsewhere is rarer, and a line that is long enough by itself always
-   counts. So a document has at most as many partners as lines, however many copies a line has.
+2. A window is the shortest run of lines from a line onwards, or back from a line, that has enough words for a block. A
+   document overlaps with the first holder of each of its windows. Every line of a common block lies in such a window
+   within the block: in the one from the block's start, or in the one back from the line itself. So no block is missed,
+   and a document has at most two partners a line, however many copies a window has.
 3. Each pair's outlines are aligned by patience diff. Common blocks of enough words are cut from the later document, and
    what is left is aligned again until no block is found, so that passages in another order are found as well.
 
@@ -24,6 +24,9 @@ from xxhash import xxh3_64_intdigest
 
 from tidemark.llm.common import Scratch
 
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)  # of the hash of a run of lines
+ROWS = 1 << 16
+
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Pairs (i, j) with a[i] == b[j], rising in both: equal ends, then lines unique to both sides in the longest order, then the gaps between.
@@ -99,19 +102,27 @@ def cut_lines(earlier: list[int], later: list[int], words: list[int], least: int
     return cut
 
 
-def probes(shared: list[tuple[int, int, int, int]], words: list[int], least: int) -> set[tuple[int, int]]:
-    """First holders (doc, tie) of the rare lines of the runs that have enough words. shared: (position, holders, doc, tie) by position."""
-    out, run = set(), []
-    for x in [*shared, None]:
-        if run and (x is None or x[0] != run[-1][0] + 1):
-            if sum(words[p] for p, *_ in run) >= least:
-                for n, (p, many, *first) in enumerate(run):
-                    near = [y for y in run[max(0, n - 1) : n + 2] if y[2:] != tuple(first)]
-                    if words[p] >= least or all(many <= y[1] for y in near):
-                        out.add(tuple(first))
-            run = []
-        run.append(x)
-    return out
+def windows(lines: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of the shortest runs of at least so many words that start or end at each line."""
+    before, total, power = [0], [0], [1]
+    for x, n in zip(lines, words, strict=False):
+        before.append((before[-1] * BASE + x + 1) % PRIME)
+        total.append(total[-1] + n)
+        power.append(power[-1] * BASE % PRIME)
+    ends, end = set(), 0
+    for start in range(len(lines)):
+        while end < len(lines) and (end == start or total[end] - total[start] < least):
+            end += 1
+        if total[end] - total[start] < least:
+            break
+        ends.add((start, end))
+    start = 0
+    for end in range(1, len(lines) + 1):
+        while start + 1 < end and total[end] - total[start + 1] >= least:
+            start += 1
+        if total[end] - total[start] >= least:
+            ends.add((start, end))
+    return [((before[end] - before[start] * power[end - start]) % PRIME, start, end) for start, end in sorted(ends)]
 
 
 def outlines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,18 +140,29 @@ def outlines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def partners(outline: DataFrame, least: int) -> DataFrame:
-    """(d, t, e, u): each document with the earlier ones it may share a block with."""
-    line = outline.select("d", "t", F.posexplode("lines").alias("p", "h"))
-    spread = line.groupBy("h").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("final"), F.count("*").alias("many")).filter("first != final")
-    seen = line.join(spread.select("h", "many", F.col("first.d").alias("e"), F.col("first.t").alias("u")), "h").filter("e < d or e = d and u < t")
-    shared = seen.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("p", "many", "e", "u"))).alias("shared"))
+    """(d, t, e, u): each document with the first holders of its windows, where these are earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(d, t, e, u) for d, t, own, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for e, u in sorted(probes([(x["p"], x["many"], x["e"], x["u"]) for x in own], words, least))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["d", "t", "e", "u"])
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["h", "d", "t"])
+            for x in out:
+                x.clear()
+            return batch
 
-    return shared.join(outline.select("d", "t", "words"), ["d", "t"]).select("d", "t", "shared", "words").mapInArrow(run, "d long, t long, e long, u long")
+        out: tuple[list[int], ...] = ([], [], [])
+        for batch in batches:
+            for d, t, lines, words in zip(*(batch.column(i) for i in range(4)), strict=True):
+                own = {h for h, _, _ in windows(lines.as_py(), words.as_py(), least)}
+                for x, values in zip(out, (own, [d.as_py()] * len(own), [t.as_py()] * len(own)), strict=True):
+                    x.extend(values)
+                if len(out[0]) >= ROWS:
+                    yield told()
+        yield told()
+
+    window = outline.select("d", "t", "lines", "words").mapInArrow(run, "h long, d long, t long")
+    spread = window.groupBy("h").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("final")).filter("first != final")
+    seen = window.join(spread.select("h", F.col("first.d").alias("e"), F.col("first.t").alias("u")), "h").filter("e < d or e = d and u < t")
+    return seen.select("d", "t", "e", "u").distinct()
 
 
 def cuts(outline: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
