@@ -83,3 +83,46 @@ def test_blocks_of_lines_with_other_first_holders(spark):
     first = [" ".join(f"{p}{i}" for i in range(n)) for p, n in (("a", 49), ("b", 2), ("c", 1))]
     text = "\n".join(first)  # the last line is in no window from the first line on
     assert run(spark, [(0, "\n".join(first[:2])), (1, text), (2, text)]) == {(0, 0, "\n".join(first[:2])), (1, 2, first[2]), (2, 3, "")}
+
+
+def in_common_blocks(earlier, later, words, least):
+    """Positions in later of all common contiguous blocks, by trying every pair of starts."""
+    out = set()
+    for i in range(len(earlier)):
+        for j in range(len(later)):
+            n = 0
+            while i + n < len(earlier) and j + n < len(later) and earlier[i + n] == later[j + n]:
+                n += 1
+            if n and sum(words[j : j + n]) >= least:
+                out |= set(range(j, j + n))
+    return out
+
+
+def test_blocks_among_repeated_lines_are_cut():
+    p1, p2, p3, p4, j, f, g, h = range(8)
+    assert cut_lines([p1, p2, p3, p4], [p1, p2, j, p1, p2, p3, p4], [15] * 7, 50) == {3, 4, 5, 6}
+    assert cut_lines([f, f, f, g], [f, h, f, f, f, g], [15] * 6, 50) == {2, 3, 4, 5}
+    rng = random.Random(11)
+    found = 0
+    for _ in range(5000):
+        kinds = rng.randint(1, 7)
+        size = [rng.choice((0, 1, 5, 15, 25, 49, 60)) for _ in range(kinds)]
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(16))] for _ in range(2))
+        words = [size[x] for x in b]
+        expected = in_common_blocks(a, b, words, 50)
+        assert cut_lines(a, b, words, 50) == expected
+        found += 0 < len(expected) < len(b)
+    assert found > 500
+
+
+def test_documents_against_all_common_blocks(spark):
+    """Every line of a block that any earlier document has goes, and no other."""
+    rng = random.Random(12)
+    lines = [" ".join(f"v{k}x{i}" for i in range(n)) for k, n in enumerate((0, 1, 3, 15, 20, 20, 25, 30, 49, 60))]
+    texts = [[rng.randrange(10) for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    expected = set()
+    for d, own in enumerate(texts):
+        words = [len(lines[k].split()) for k in own]
+        cut = set().union(*(in_common_blocks(e, own, words, 50) for e in texts[:d]))
+        expected.add((d, len(cut), "\n".join(lines[k] for i, k in enumerate(own) if i not in cut)))
+    assert run(spark, [(d, "\n".join(lines[k] for k in own)) for d, own in enumerate(texts)]) == expected

@@ -5,8 +5,8 @@
    document overlaps with the first holder of each of its windows. Every line of a common block lies in such a window
    within the block: in the one from the block's start, or in the one back from the line itself. So no block is missed,
    and a document has at most two partners a line, however many copies a window has.
-3. Each pair's outlines are aligned by patience diff. Common blocks of enough words are cut from the later document, and
-   what is left is aligned again until no block is found, so that passages in another order are found as well.
+3. Each pair's outlines are aligned by patience diff, and common blocks of enough words are cut from the later document.
+   Those that the alignment doesn't match, as passages in another order or repeated lines, are found by their windows.
 
 A document is never cut against a later one, so the first holder of a block keeps it.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,25 +81,38 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def cut_lines(earlier: list[int], later: list[int], words: list[int], least: int) -> set[int]:
-    """Positions in later of the common blocks of at least so many words.
+    """Positions in later of all lines that are in a common block of at least so many words.
 
-    After each alignment, lines of blocks are taken out of later and lines that were matched outside of one out of earlier,
-    so that what they kept apart is aligned next. Hashes are not negative, and a negative number is equal to nothing.
+    The alignment gives the blocks that stand in order. It matches each line once, so passages in another order and other
+    occurrences of repeated lines are found by their windows, each extended on both sides as far as the lines are equal.
     """
-    earlier, later, cut = list(earlier), list(later), set()
-    while pairs := patience(earlier, later):
-        block: list[tuple[int, int]] = []
-        for pair in [*pairs, (-9, -9)]:
-            if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
-                if sum(words[j] for _, j in block) >= least:
-                    for _, j in block:
-                        later[j] = -1 - j
-                        cut.add(j)
-                else:
-                    for i, _ in block:
-                        earlier[i] = -1 - len(later) - i
-                block = []
-            block.append(pair)
+    block: list[tuple[int, int]] = []
+    cut: set[int] = set()
+    for pair in [*patience(earlier, later), (-9, -9)]:
+        if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(words[j] for _, j in block) >= least:
+                cut.update(j for _, j in block)
+            block = []
+        block.append(pair)
+    stay = [0, *accumulate(j not in cut for j in range(len(later)))]
+    left = [w for w in windows(later, words, least) if stay[w[1]] < stay[w[2]]]
+    if left:
+        known = dict(zip(later, words, strict=False))  # a line that later hasn't is in no common block, so its words don't matter
+        at = {h: i for h, i, _ in windows(earlier, [known.get(x, least) for x in earlier], least)}
+        done = 0  # lines before it that are cut by the last block found here
+        for h, j0, j1 in left:
+            i0 = at.get(h)
+            if i0 is None or j1 <= done:
+                continue
+            i1 = i0 + j1 - j0
+            if earlier[i0:i1] != later[j0:j1]:
+                continue
+            while i0 and j0 and earlier[i0 - 1] == later[j0 - 1]:
+                i0, j0 = i0 - 1, j0 - 1
+            while i1 < len(earlier) and j1 < len(later) and earlier[i1] == later[j1]:
+                i1, j1 = i1 + 1, j1 + 1
+            cut.update(range(j0, j1))
+            done = j1
     return cut
 
 
