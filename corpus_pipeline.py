@@ -28,9 +28,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies, and one of the rows equal in id and text; rows that repeat an id stand for themselves."""
+    key = ["doc_id", "text_hash"]
+    rows = near_duplicates(docs, digest=True).filter("doc_id is not null").groupBy(*key).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    # the documents that go or are repeated; written, as the two joins then see its true size
+    told = Scratch(spark, "near-dedup-rows").save(rows.filter("not kept or n > 1"))
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    single = own.join(told.select(key), key, "left_anti")
+    repeated = own.join(told.filter("kept").select(key), key, "left_semi").dropDuplicates(key)
+    return single.union(repeated.select(single.columns)).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

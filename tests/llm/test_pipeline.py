@@ -37,3 +37,14 @@ def test_run_gives_the_last_stages_rows(spark):
 
 def test_names_of_queries():
     assert [int(n[2:].split("_")[0]) for n in q.QUERIES] == list(range(1, 11))
+
+
+def test_near_dedup_decides_per_row(spark):
+    some = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    a, b, c, d = map(some, "abcd")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (7, c), (8, d), (None, d), (None, d), (9, ""), (9, ""), (9, None), (9, b)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id long, lang string, text string")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    expected = [(1, a), (5, b), (6, c), (8, d), (None, d), (None, d), (9, ""), (9, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(expected, key=repr)

@@ -67,8 +67,9 @@ def signer(k: int, seed: int = 7):
     return sign
 
 
-def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(id, n_shingles, cls, sig): cls is a digest of the shingle set, null for an empty one."""
+def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, digest: bool = False) -> DataFrame:
+    """(id, n_shingles, cls, sig) and with digest text_hash: cls is a digest of the shingle set, null for an empty one."""
+    more = [F.xxhash64(text_col).alias("text_hash")] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signer(k)
@@ -79,9 +80,9 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int, k: i
                 n.append(len(s))
                 cls.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                 sig.append(sign(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=["id", "n_shingles", "cls", "sig", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, n_shingles long, cls long, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), *more).mapInArrow(run, "id long, n_shingles long, cls long, sig binary" + ", text_hash long" * digest)
 
 
 def coordinates(classes: DataFrame, k: int) -> DataFrame:
@@ -196,16 +197,17 @@ def between(members: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return x.union(y).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 64, m: int = 32, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 64, m: int = 32, rounds: int = 3, digest: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of each row of docs; kept marks the least id of a component.
 
     Null or empty texts and texts without words have no shingles and link with nothing. A row without id has a null
-    component and is kept. Rows that repeat an id are judged by their own texts. Other columns aren't read; an empty table
+    component and is kept. Rows that repeat an id are judged by their own texts; with digest, text_hash, the xxhash64 of the
+    text, is a fifth column that tells them apart. Other columns aren't read; an empty table
     gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    signed = scratch.save(sign_documents(docs, id_col, text_col, width, k), "signed")
+    signed = scratch.save(sign_documents(docs, id_col, text_col, width, k, digest), "signed")
     groups = signed.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = scratch.save(groups, "classes")
     lists = scratch.save(prefixes(coordinates(classes, k), m), "lists")
@@ -229,9 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = own.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).filter("size > 1")
     grouped = scratch.save(own.join(least, "comp").select("cls", "component_id"), "grouped")
-    out = signed.select("id", "n_shingles", "cls").join(grouped, "cls", "left")
+    out = signed.drop("sig").join(grouped, "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    result = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    result = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *(["text_hash"] if digest else []))
     scratch.drop(*(x for x, _ in list(scratch.paths.values()) if x is not signed and x is not grouped))
     return result
 
