@@ -35,3 +35,8 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0)], key=repr)
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_links_of_an_article_are_kept():
+    page = "<nav><a href=/>Home</a></nav><article><h1><a href=/x>A headline, linked</a></h1><p>A paragraph, long enough. And a second sentence, too.</p><h2>Sources</h2><ul><li><a href=/1>First source</a><li><a href=/2>Second source</a></ul><div class=related><a href=/3>Read this</a></div></article><ul><li><a href=/4>Elsewhere</a></ul>"
+    assert extract(page) == "A headline, linked\nA paragraph, long enough. And a second sentence, too.\nSources\nFirst source\nSecond source"

@@ -179,7 +179,7 @@ def main_blocks(page: list[Block]) -> list[str]:
                 root = root[:-1]
         if root == top and len(top) > 1 and top[-1].partition(".")[0] not in ("div", "section", "td", "body"):
             root = top[:-1]
-    kept = lambda b: b.path[: len(root)] == root and (marked or b.path in wanted or b.path[-1][:1] == "h") and not links[b.path]
+    kept = lambda b: b.path[: len(root)] == root and (marked or (b.path in wanted or b.path[-1][:1] == "h") and not links[b.path])
     wanted = set(content)
     return [b.text for b in page if b.path and kept(b)] or [b.text for b in page if b.path in wanted]
 
