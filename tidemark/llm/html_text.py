@@ -1,14 +1,20 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is scanned once into blocks: runs of text between block-level tags, each with its root-to-leaf path of tags (inline
-tags left out, as they are often not closed) and how much of it is links. Parts that a page marks as something else than
-its article, by tag or by words of class, id or role, make no blocks. Then
+A page is scanned once into blocks: runs of text between block-level tags, each with its root-to-leaf path of tags and classes
+(inline tags left out, as they are often not closed) and how much of it is links. Elements that HTML itself gives another
+role than content (scripts, navigation, forms and so on), and hidden ones, make no blocks. Then
 
 1. each path gets two ratios over its blocks: characters, and punctuation, per block, both without link text;
-2. along the page, both are smoothed over neighbouring blocks with a Gaussian window, and averaged over each path again;
-3. the two are fused by their product, and paths of at least a tenth of the highest are content;
-4. the article is the lowest element over the content paths; its other blocks (short headings, say) belong to it unless
-   they are mostly links.
+2. along the page, both are smoothed over neighbouring blocks with a Gaussian window, in which blocks of another parent
+   count less, and averaged over each path again;
+3. the two are fused by their product with a weight of the path: LANDMARK in an article or main element, less where an
+   element is called what pages call adverts, comments or teasers;
+4. paths of at least SHARE of the highest score are content. Blocks that are marked as something else never set the scale;
+5. from the root down, an element's parts that hold content are followed into. Its other parts (tables, lists, short
+   headings, say) belong to the text if the element is an article or holds content blocks itself, unless they are marked.
+   Elsewhere only headings before content do.
+
+So what an article holds stays whole, while the ratios say which elements are articles.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from math import exp
 
 import pyarrow as pa
@@ -26,49 +33,77 @@ from tidemark.llm.common import importable
 
 # Tags by their role in HTML, and words by which pages name what isn't their article.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-SKIP = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head"}
-PAGE = {"header", "banner", "masthead"}  # not the article's, outside it
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "canvas", "xmp"}
+VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track"}
+BLOCKS = {"html", "body", "address", "article", "aside", "blockquote", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "button", "img", "input", "col", "link", "meta", "base", "area", "embed", "param", "source", "track"}
+SKIP = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "search"}
+LEAVES = {"p", "li", "dt", "dd", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figcaption", "caption", "summary", "address"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
-OTHER = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?:$|[-_\s\d])", re.I)
+STRONG = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsored|cookies?|consent|gdpr|popup|modal|sidebar|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|disqus|newsletter)(?:$|[-_\s\d])", re.I)
+WEAK = re.compile(r"(?:^|[-_\s])(?:sponsor|promo|promotion|banner|notices?|alert|overlay|widget|menu|respond|replies|share|sharing|social|related|recommended|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?:$|[-_\s\d])", re.I)
+UNSAID = re.compile(r"\S*\b(?:has|with|no|without)[-_]\S+|\S+[-_](?:open|closed|enabled|disabled|none)(?!\S)", re.I)  # what a page has beside this element
 MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:hidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
-SHARE, LINKS, SPAN = 0.1, 0.6, 2
+SHARE, LINKS, SPAN, APART = 0.1, 0.6, 2, 0.2
+LANDMARK, PLAIN, DOUBTFUL, OTHER = 10.0, 1.0, 0.5, 1e-3  # weights of a path
+DEEPEST = 64  # block-level elements of a path; those further in are taken for the last of these
 
 
 class Block:
-    __slots__ = ("path", "text", "link")
+    """path: names of the open elements; nodes: their numbers, by which equal names are told apart; weights: theirs."""
+
+    __slots__ = ("path", "nodes", "weights", "text", "link")
+
+    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], weights: tuple[float, ...], text: str, link: int):
+        self.path, self.nodes, self.weights, self.text, self.link = path, nodes, weights, text, link
+
+    @property
+    def weight(self) -> float:
+        """Of the path: of a landmark, if there is one, and of the worst mark."""
+        return max((*self.weights, PLAIN)) * min((*self.weights, PLAIN))
+
+    def marked(self, depth: int = 0) -> float:
+        """The worst mark of the elements from this depth on."""
+        return min((*self.weights[depth:], PLAIN))
 
-    def __init__(self, path: tuple[str, ...], text: str, link: int):
-        self.path, self.text, self.link = path, text, link
+    @property
+    def plain(self) -> int:
+        """Characters beside links."""
+        return max(0, len(self.text) - self.link)
 
 
-def other(tag: str, attributes: str, path: list[str]) -> bool:
-    """Whether an element isn't of the article, by its tag or by what it is called."""
-    inside = any(x.startswith(("article", "main")) for x in path)
-    if tag in SKIP or (tag in PAGE and not inside):
-        return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    return bool(ATTRIBUTE.search(attributes)) or any(OTHER.search("".join(m)) for m in MARKS.findall(attributes))
+def tag_of(name: str) -> str:
+    return name.partition(".")[0]
+
+
+def weighed(tag: str, attributes: str) -> float:
+    """What an element's tag, class, id or role says of its being content."""
+    if tag in ("article", "main"):
+        return LANDMARK
+    if not attributes or tag in ("body", "html"):
+        return PLAIN
+    named = [UNSAID.sub("", "".join(m)) for m in MARKS.findall(attributes)]
+    if any(map(STRONG.search, named)):
+        return OTHER if tag not in HEADINGS else PLAIN
+    return DOUBTFUL if tag not in LEAVES and any(map(WEAK.search, named)) else PLAIN
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, their character references decoded and white space made one space each."""
     found: list[Block] = []
-    path: list[str] = []  # open block-level elements
+    path: list[tuple[str, int, float]] = []  # open block-level elements, from the outermost on
     parts: list[str] = []
-    link = in_link = skip = at = 0  # skip: depth of the outermost element that is left out, else 0
+    link = in_link = skip = at = number = 0  # skip: depth of the outermost element that is left out, else 0
 
     def end() -> None:
         nonlocal link
-        text = " ".join(unescape("".join(parts)).split())
+        text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            found.append(Block(tuple(path), text, link))
+            found.append(Block(*(zip(*path[:DEEPEST], strict=True) if path else ((), (), ())), text, link))
         parts.clear()
         link = 0
 
@@ -97,19 +132,19 @@ def blocks(html: str) -> list[Block]:
                 shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                 at = shut.end() if shut else len(html)
             continue
-        if tag == "br" or tag == "wbr":
+        if tag in ("br", "wbr"):
             told(" " * (tag == "br"))
             continue
-        if tag in INLINE:
+        if tag not in BLOCKS:  # inline, as is any element that HTML doesn't know
             if tag == "a":
                 in_link = 0 if m[1] else 1
             if not m[1] and not skip and attributes and tag != "a" and ATTRIBUTE.search(attributes):
-                shut = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = shut.end() if shut else at
             continue
         if m[1]:
             for depth in range(len(path) - 1, -1, -1):
-                if path[depth].partition(".")[0] == tag:
+                if tag_of(path[depth][0]) == tag:
                     close(depth)
                     in_link = 0
                     break
@@ -117,71 +152,122 @@ def blocks(html: str) -> list[Block]:
         end()
         if tag in VOID:
             continue
-        if tag in CLOSES_P and path and path[-1].partition(".")[0] == "p":
+        if tag in CLOSES_P and path and tag_of(path[-1][0]) == "p":
             close(len(path) - 1)
         if tag in SIBLINGS:
             for depth in range(len(path) - 1, -1, -1):
-                name = path[depth].partition(".")[0]
+                name = tag_of(path[depth][0])
                 if name in SIBLINGS[tag]:
                     close(depth)
                 elif name in ("ul", "ol", "dl", "table", "select") or tag == "p":
                     break
-        name = next(("".join(x) for x in re.findall(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", attributes)), "")
-        own = f"{tag}.{name}" if name else tag
-        leave = not skip and other(tag, attributes, path)
         if attributes.endswith("/") and tag not in ("p", "div"):
             continue
-        path.append(own)
-        if leave:
+        named = CLASS.search(attributes)
+        name = "".join(filter(None, named.groups())) if named else ""
+        number += 1
+        path.append((f"{tag}.{name}" if name else tag, number, weighed(tag, attributes)))
+        if not skip and (tag in SKIP or ATTRIBUTE.search(attributes)) and tag not in ("html", "body"):
             skip = len(path)
     told(html[at:])
     end()
     return found
 
 
-def smoothed(values: list[float]) -> list[float]:
-    """A Gaussian window over SPAN neighbours on either side, those beyond the ends left out."""
+def smoothed(values: list[float], page: list[Block]) -> list[float]:
+    """A Gaussian window over SPAN neighbours on either side, in which blocks of other parents count by APART."""
     weight = {d: exp(-d * d / 2) for d in range(-SPAN, SPAN + 1)}
     out = []
-    for i in range(len(values)):
-        near = [(weight[d], values[i + d]) for d in weight if 0 <= i + d < len(values)]
-        out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    for i, b in enumerate(page):
+        total = over = 0.0
+        for d, w in weight.items():
+            if 0 <= i + d < len(page):
+                if page[i + d].nodes[:-1] != b.nodes[:-1]:
+                    w *= APART
+                total, over = total + w * values[i + d], over + w
+        out.append(total / over)
     return out
 
 
-def main_blocks(page: list[Block]) -> list[str]:
-    """The texts of the blocks that are content."""
-    if not page:
-        return []
+def scores(page: list[Block]) -> dict[tuple[str, ...], float]:
+    """The fused ratios of each path."""
     paths: dict[tuple[str, ...], list[int]] = {}
     for i, b in enumerate(page):
         paths.setdefault(b.path, []).append(i)
-    chars, marks = [max(0, len(b.text) - b.link) for b in page], [len(PUNCTUATION.findall(b.text)) if b.link < LINKS * len(b.text) else 0 for b in page]
+    chars = [b.plain for b in page]
+    marks = [len(PUNCTUATION.findall(b.text)) if b.link < LINKS * len(b.text) else 0 for b in page]
     ratios = []
     for per_block in (chars, marks):
         mean = {p: sum(per_block[i] for i in own) / len(own) for p, own in paths.items()}
-        even = smoothed([mean[b.path] for b in page])
+        even = smoothed([mean[b.path] for b in page], page)
         ratios.append({p: sum(even[i] for i in own) / len(own) for p, own in paths.items()})
-    fused = {p: ratios[0][p] * (1 + ratios[1][p]) for p in paths}
-    links = {p: sum(page[i].link for i in own) > LINKS * sum(len(page[i].text) for i in own) for p, own in paths.items()}
-    best = max(fused.values())
-    content = [p for p in paths if fused[p] >= SHARE * best and not links[p]]
-    if not content:
-        return []
-    top = max(content, key=lambda p: (sum(chars[i] for i in paths[p]), -paths[p][0]))
-    marked = next((k for k in range(len(top), 0, -1) if top[k - 1].partition(".")[0] in ("article", "main")), 0)
-    if marked:
-        root = top[:marked]
-    else:
-        root = top
-        for p in content:
-            while p[: len(root)] != root:
-                root = root[:-1]
-        if root == top and len(top) > 1 and top[-1].partition(".")[0] not in ("div", "section", "td", "body"):
-            root = top[:-1]
-    kept = lambda b: b.path[: len(root)] == root and (marked or (b.path in wanted or b.path[-1][:1] == "h") and not links[b.path])
-    wanted = set(content)
-    return [b.text for b in page if b.path and kept(b)] or [b.text for b in page if b.path in wanted]
+    return {p: ratios[0][p] * (1 + ratios[1][p]) * max(page[i].weight for i in own) for p, own in paths.items()}
+
+
+def content_paths(page: list[Block]) -> set[tuple[str, ...]]:
+    score = scores(page)
+    best = max((score[b.path] for b in page if b.marked() != OTHER), default=0.0)
+    linked: dict[tuple[str, ...], list[int]] = {}
+    for b in page:
+        own = linked.setdefault(b.path, [0, 0])
+        own[0] += b.link
+        own[1] += len(b.text)
+    return {p for p, s in score.items() if best and s >= SHARE * best and linked[p][0] <= LINKS * linked[p][1]}
+
+
+def main_blocks(page: list[Block]) -> list[str]:
+    """The texts of the blocks that are content."""
+    content = content_paths(page)
+    hit = [b.path in content for b in page]
+    before = [0, *accumulate(hit)]
+    kept = [False] * len(page)
+
+    def parts(i: int, j: int, depth: int) -> list[tuple[int, int]]:
+        """Ranges of the blocks i to j - 1 that stand in the same child of the element at this depth, or right in it."""
+        out = []
+        for k in range(i, j):
+            node = page[k].nodes[depth : depth + 1]
+            if not out or not node or page[k - 1].nodes[depth : depth + 1] != node:
+                out.append((k, k + 1))
+            else:
+                out[-1] = (out[-1][0], k + 1)
+        return out
+
+    def heading(i: int, j: int, depth: int) -> bool:
+        return any(tag_of(x) in HEADINGS for x in page[i].path[depth:]) and page[i].path[depth] == page[j - 1].path[depth] if page[i].path[depth:] else False
+
+    todo = [(0, len(page), 0)]
+    while todo:
+        i, j, depth = todo.pop()
+        own = parts(i, j, depth)
+        full = [before[b] > before[a] for a, b in own]
+        if not any(full):
+            continue
+        element = tag_of(page[i].path[depth - 1]) if depth else ""
+        direct = any(f and (len(page[a].nodes) == depth or (len(page[a].nodes) == depth + 1 and tag_of(page[a].path[depth]) in LEAVES)) for (a, b), f in zip(own, full, strict=True))
+        first, last = full.index(True), len(full) - 1 - full[::-1].index(True)
+        for n, ((a, b), f) in enumerate(zip(own, full, strict=True)):
+            if f:
+                if len(page[a].nodes) <= depth:
+                    kept[a] = True
+                else:
+                    todo.append((a, b, depth + 1))
+                continue
+            if any(page[k].marked(depth) < PLAIN for k in range(a, b)):
+                continue
+            inside = first < n < last
+            links = sum(page[k].link for k in range(a, b)) > LINKS * sum(len(page[k].text) for k in range(a, b))
+            if element == "article":
+                keep = True
+            elif direct and element not in ("body", "html", ""):
+                keep = inside or not links or heading(a, b, depth)
+            elif direct:
+                keep = inside or (n < first and heading(a, b, depth))
+            else:
+                keep = n < last and full[n + 1] and heading(a, b, depth)
+            if keep:
+                kept[a:b] = [True] * (b - a)
+    return [b.text for b, k in zip(page, kept, strict=True) if k]
 
 
 def extract(html: str | None) -> str:
