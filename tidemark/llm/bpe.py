@@ -4,10 +4,13 @@ Whether two neighbouring bytes end up in one token depends on text further right
 lower rank than the one before and beginning at a piece that ends the one before. The longest such chain of a merge list,
 in bytes, is its sufficient lookahead: a token that ends at least so far before the end of what has been read is stable.
 The transducer holds a piece of a pre-token of about that size, emits tokens once they are stable, and goes on from there,
-so its memory doesn't grow with the text.
+so its memory doesn't grow with the text. Every id comes out of it; what it gave for short words between spaces and for
+short pre-tokens is remembered, up to a number of them.
 
 Text becomes pre-tokens as the tokenizers library makes them: special tokens in the text as they stand, NFC, lower case,
-white space dropped. Short words between spaces and short pre-tokens are remembered with their ids, up to a number of them.
+white space dropped. Texts are read in pieces of bounded size, cut at spaces; a longer word is a stream, which is brought
+into NFC and parted as it comes, cut where no character acts on the one before. What a piece gives goes to the decoder and
+the digests before the next is read.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import importable
+from tidemark.llm.words import Words, groups, pieces
 
+#: Fixed value: how files of this kind part a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 NONE = 1 << 60
 
@@ -38,6 +45,15 @@ def byte_letters() -> list[str]:
     return [chr(b if b in prints else next(rest)) for b in range(256)]
 
 
+def lowers(path: str) -> bool:
+    """Whether a tokenizer file is of the kind of this module."""
+    try:
+        PreTokens(path)
+    except (ValueError, KeyError, TypeError):
+        return False
+    return True
+
+
 class PreTokens:
     """What a tokenizer file says of normalizing and splitting, in the terms of this module; other files are refused."""
 
@@ -47,9 +63,9 @@ class PreTokens:
             self.file = json.load(f)
         steps = [x["type"] for x in self.file["normalizer"]["normalizers"]]
         split = self.file["pre_tokenizer"]["pretokenizers"][0]
-        if steps != ["NFC", "Replace", "Lowercase"] or self.file["decoder"] or not split["invert"] or split["behavior"] != "Removed":
+        if steps != ["NFC", "Replace", "Lowercase"] or self.file["decoder"] or not split["invert"] or split["behavior"] != "Removed" or split["pattern"].get("Regex") != PATTERN:
             raise ValueError(f"{path} isn't a file of this kind")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(PATTERN)
         self.special = {x["content"]: x["id"] for x in self.file["added_tokens"]}
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.known, self.library = set(), None
@@ -86,11 +102,6 @@ class PreTokens:
                 yield self.special.get(part, part)
 
 
-def spaced(low: str) -> list[str]:
-    """A text cut at spaces and line ends, where no pre-token goes on; other white space stays inside."""
-    return low.replace("\n", " ").split(" ")
-
-
 class Merges:
     """A merge list over byte-level symbols with word ends."""
 
@@ -162,6 +173,73 @@ class Transducer:
         return self.merges.merged([*(self.merges.inner[b] for b in held[:-1]), self.merges.final[held[-1]]]) if held else []
 
 
+class Stream:
+    """Takes the text of one word in pieces of any size and gives ids once they are stable.
+
+    Of the text it holds what isn't in NFC for sure yet: from the last character on before which a text may be cut, which is
+    any but marks and the Hangul letters that join the one before, and what could be the beginning of a special token. Of the
+    text in NFC it holds an apostrophe at the end, as what follows may make it a contraction.
+    """
+
+    LETTERS, MARKS = regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")
+
+    def __init__(self, pre: PreTokens, merges: Merges):
+        self.pre, self.transducer = pre, Transducer(merges)
+        self.raw, self.low, self.open = "", "", None
+        self.longest = max(map(len, pre.special), default=1)
+
+    @staticmethod
+    def joins(c: str) -> bool:
+        return unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff"
+
+    def feed(self, text: str) -> Iterator[int]:
+        self.raw += text
+        while True:
+            found = self.pre.parts.search(self.raw)
+            if found:
+                yield from self.parted(self.raw[: found.start()], True)
+                yield self.pre.special[found[0]]
+                self.raw = self.raw[found.end() :]
+                continue
+            end = len(self.raw) - self.longest
+            while end > 0 and self.joins(self.raw[end]):
+                end -= 1
+            if end > 0:
+                yield from self.parted(self.raw[:end], False)
+                self.raw = self.raw[end:]
+            return
+
+    def finish(self) -> Iterator[int]:
+        yield from self.parted(self.raw, True)
+        self.raw = ""
+
+    def parted(self, text: str, last: bool) -> Iterator[int]:
+        """Ids of the pre-tokens of a text of which more comes unless it is the last."""
+        low, at = self.low + self.pre.low(text), 0
+        self.low = ""
+        if self.open and low:
+            more = self.open.match(low)
+            if more:
+                at = more.end()
+                yield from self.transducer.feed(more[0].encode())
+            if at < len(low):
+                yield from self.transducer.finish()
+                self.open = None
+        for found in self.pre.pattern.finditer(low, at):
+            if not last and found[0][0] == "'" and len(low) - found.start() < 3:
+                self.low = low[found.start() :]
+                return
+            yield from self.transducer.feed(found[0].encode())
+            if found.end() == len(low):
+                self.open = next((x for x in (self.LETTERS, self.MARKS) if x.fullmatch(found[0])), None)
+                if self.open:
+                    break
+            yield from self.transducer.finish()
+        if last:
+            yield from self.transducer.finish()
+            self.open = None
+
+
 class Memory(dict):
     """word -> ids of short words, of two generations: when the young one is full it becomes the old one, from which words come back."""
 
@@ -184,29 +262,53 @@ class Memory(dict):
 
 
 class Encoder:
+    """Ids of texts, as arrays of unsigned integers."""
+
+    LONG = 4096  # characters of a word from which on it is a stream
+    BLOCK = 1 << 16
+
     def __init__(self, path: str):
         self.pre = PreTokens(path)
         self.merges = Merges(self.pre.file["model"])
-        self.memory = Memory(self.word)
-        self.near = Memory(lambda w: tuple(chain.from_iterable(map(self.memory.__getitem__, self.pre.pattern.findall(w)))))
-
-    def word(self, word: str) -> tuple[int, ...]:
-        data, m = word.encode(), self.merges
-        if len(data) <= Transducer.BLOCK:  # all of it is within the lookahead
-            return tuple(m.merged([*map(m.inner.__getitem__, data[:-1]), m.final[data[-1]]]))
-        t = Transducer(m)
-        return (*t.feed(data), *t.finish())
-
-    def __call__(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for piece in self.pre.pieces(text or ""):
+        self.kind = np.dtype("<u2" if max(*self.merges.size, *self.pre.special.values()) < 1 << 16 else "<u4")
+        self.memory = Memory(self.token)
+        self.words = Words(self.learn, self.kind, True)
+
+    def learn(self, words: pa.Array) -> pa.Array:
+        return pa.array([np.fromiter(chain.from_iterable(self.word(w)), self.kind).tobytes() for w in words.to_pylist()], pa.binary())
+
+    def token(self, token: str) -> tuple[int, ...]:
+        """Ids of a pre-token."""
+        t = Transducer(self.merges)
+        return (*t.feed(token.encode()), *t.finish())
+
+    def word(self, word: str) -> Iterator[Iterable[int]]:
+        """Ids of a text that is read whole, as are all but words that are long and of characters that every Unicode version knows."""
+        if len(word) > self.LONG and self.pre.settled(word):
+            stream = Stream(self.pre, self.merges)
+            for at in range(0, len(word), self.LONG):
+                yield stream.feed(word[at : at + self.LONG])
+            yield stream.finish()
+            return
+        for piece in self.pre.pieces(word):
             if isinstance(piece, int):
-                out.append(piece)
-            elif (low := self.pre.low(piece)) is not None:
-                out += chain.from_iterable(map(self.near.__getitem__, spaced(low)))
+                yield (piece,)
             else:
-                out += chain.from_iterable(map(self.memory.__getitem__, self.pre.asked(piece)))
-        return out
+                low = self.pre.low(piece)
+                yield from map(self.memory.__getitem__, self.pre.asked(piece) if low is None else self.pre.pattern.findall(low))
+
+    def long(self, text: str, most: int) -> Iterator[np.ndarray]:
+        """Ids of a long text, piece by piece."""
+        for piece in pieces(text, most):
+            if len(piece) <= most:
+                yield self.words(pa.array([piece]))[0]
+            else:
+                ids = chain.from_iterable(self.word(piece))
+                while len(block := np.fromiter(islice(ids, self.BLOCK), self.kind)):
+                    yield block
+
+    def __call__(self, text: str | None) -> list[int]:
+        return np.concatenate([np.empty(0, self.kind), *self.long(text or "", 1 << 20)]).tolist()
 
 
 class Decoder:
@@ -233,7 +335,11 @@ class Decoder:
         return table
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = self.state.decode(b"".join(map(self.table.__getitem__, ids)))
+        return self.take(b"".join(map(self.table.__getitem__, ids)))
+
+    def take(self, data: bytes) -> str:
+        """The text of the bytes of the next tokens."""
+        out = self.state.decode(data)
         if not self.begun and out:
             self.begun, out = True, out.removeprefix(" ")
         return out
@@ -242,56 +348,99 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-BLOCK = 65536
+class Spelled:
+    """What each id stands for, gathered for many ids at once."""
+
+    def __init__(self, table: list[bytes]):
+        self.table = pa.array(table, pa.binary())
+
+    def __call__(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(the bytes of all ids side by side, where each one begins, and the end)."""
+        taken = self.table.take(pa.array(ids))
+        at = np.frombuffer(taken.buffers()[1], np.int32, len(ids) + 1)
+        return memoryview(taken.buffers()[2] or b"")[: at[-1]], at
+
+
+class Outcome:
+    """What is asked of one text, from its ids as they come."""
+
+    def __init__(self, outputs: list[str], table: list[bytes]):
+        self.n, self.ids, self.texts, self.outputs = 0, [], [], outputs
+        self.decimal, self.decoded, self.machine = sha256(), sha256(), Decoder(table)
+
+    def told(self, text: str) -> None:
+        self.decoded.update(text.encode())
+        if "decoded" in self.outputs:
+            self.texts.append(text)
+
+    def add(self, ids: np.ndarray, decimal: memoryview | None, spelled: memoryview | None) -> None:
+        if decimal is not None and len(ids):
+            self.decimal.update(decimal if self.n else decimal[1:])  # no space before the first
+        self.n += len(ids)
+        if "ids" in self.outputs:
+            self.ids += ids.tolist()
+        if spelled is not None:
+            for at in range(0, len(spelled), Encoder.BLOCK):
+                self.told(self.machine.take(bytes(spelled[at : at + Encoder.BLOCK])))
+
+    def values(self) -> dict:
+        self.told(self.machine.finish())
+        return {"n_tokens": self.n, "ids": self.ids, "decoded": "".join(self.texts), "ids_sha256": self.decimal.hexdigest(), "decoded_sha256": self.decoded.hexdigest()}
+
+
 COLUMNS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 KINDS = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
-LOADED: dict[str, tuple[Encoder, list[bytes]]] = {}
+LOADED: dict[str, tuple[Encoder, list[bytes], Spelled, Spelled]] = {}
 
 
-def loaded(path: str) -> tuple[Encoder, list[bytes]]:
-    """One encoder for each file in a worker, kept from task to task."""
+def loaded(path: str) -> tuple[Encoder, list[bytes], Spelled, Spelled]:
+    """One encoder for each file in a worker, kept from task to task, its tokens' bytes and decimal numbers."""
     if path not in LOADED:
         encoder = Encoder(path)
-        LOADED[path] = encoder, Decoder.tables(encoder.pre.file, True)
+        table = Decoder.tables(encoder.pre.file, True)
+        LOADED[path] = encoder, table, Spelled(table), Spelled([b" %d" % i for i in range(len(table))])
     return LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, text_col: str = "text", outputs: Iterable[str] = ("n_tokens", "ids"), keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+def outcomes(texts: pa.Array, path: str, outputs: list[str], most: int) -> Iterator[Outcome]:
+    """The outcome of each text; neighbouring texts of at most so many bytes are read at once, longer ones in pieces."""
+    encoder, table, spelled, decimal = loaded(path)
+    no = lambda ids: (None, np.zeros(len(ids) + 1, np.int32))
+    spell, number = (spelled if any(x.startswith("decoded") for x in outputs) else no), (decimal if "ids_sha256" in outputs else no)
+    for at, n in groups(texts, most):
+        if n == 1:
+            out = Outcome(outputs, table)
+            for ids in encoder.long(texts[at].as_py() or "", most):
+                out.add(ids, number(ids)[0], spell(ids)[0])
+            yield out
+            continue
+        ids, ends = encoder.words(texts.slice(at, n))
+        (d, d_at), (s, s_at) = number(ids), spell(ids)
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out = Outcome(outputs, table)
+            out.add(ids[a:b], d and d[d_at[a] : d_at[b]], s and s[s_at[a] : s_at[b]])
+            yield out
+
+
+def encode_documents(docs: DataFrame, path: str, text_col: str = "text", outputs: Iterable[str] = ("n_tokens", "ids"), keep: Iterable[str] = ("doc_id",), most: int = 4 << 20) -> DataFrame:
     """The columns keep of docs, and of each whole text: n_tokens, ids, decoded (the ids decoded again), ids_sha256 (of the
     decimal ids joined by a space) and decoded_sha256, as outputs names them.
 
     path is a tokenizer file that every executor can open. Null and empty texts and texts of white space have no ids and
-    decode to an empty text. Rows that repeat, null ids and other columns make no difference.
+    decode to an empty text. Rows that repeat, null ids and other columns make no difference. Beside a text itself, and its
+    ids or decoded text where these are asked for, about 40 times most (4 MB) bytes are held, however long it is, unless a
+    word longer than that has characters that Python's Unicode version doesn't know: the library parts it, whole.
     """
     importable(docs.sparkSession)
     outputs, keep = list(outputs), list(keep)
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = loaded(path)
-        decimal = [str(i) for i in range(len(table))]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                out = {x: [] for x in outputs}
-                for text in batch.column(0):
-                    ids = encode(text.as_py())
-                    values = {"n_tokens": len(ids), "ids": ids}
-                    if "ids_sha256" in out:
-                        values["ids_sha256"] = sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest()
-                    if "decoded" in out or "decoded_sha256" in out:
-                        machine, digest, parts = Decoder(table), sha256(), []
-                        for i in range(0, len(ids), BLOCK):
-                            parts.append(machine.feed(ids[i : i + BLOCK]))
-                            digest.update(parts[-1].encode())
-                            if "decoded" not in out:
-                                parts.clear()
-                        parts.append(machine.finish())
-                        digest.update(parts[-1].encode())
-                        values |= {"decoded": "".join(parts), "decoded_sha256": digest.hexdigest()}
-                    for x in outputs:
-                        out[x].append(values[x])
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(out[x], KINDS[COLUMNS[x]]) for x in outputs)], names=[*names, *outputs])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                own = batch.slice(at, 4000)
+                values = [x.values() for x in outcomes(own.column(0), path, outputs, most)]
+                yield pa.RecordBatch.from_arrays([*own.columns[1:], *(pa.array([v[x] for v in values], KINDS[COLUMNS[x]]) for x in outputs)], names=[*names, *outputs])
 
     chosen = docs.select(F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
     schema = ", ".join([*(f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names), *(f"{x} {COLUMNS[x]}" for x in outputs)])
