@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.llm.common import Scratch, components, id_ranges, shared_dir
+from tidemark.llm.common import Ranges, Scratch, components, shared_dir
 
 
 @pytest.mark.parametrize("one_task", [0, 10**6])
@@ -23,12 +23,18 @@ def test_no_edges(spark, one_task):
 
 def test_ranges_of_ids(spark):
     ids = [None, *range(0, 4000, 7), 10, 10, 10]
-    df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(3)
-    edges, number = id_ranges(df, "k", 50)
-    assert 8 < len(edges) < 14
-    for r in df.withColumn("n", number).collect():
-        assert r.n == (0 if r.k is None else sum(e <= r.k for e in edges))
-    assert id_ranges(df.limit(0), "k", 50)[0] == []
+    df = spark.createDataFrame([(i, "x") for i in ids], "k long, p string").repartition(3)
+    ranges = Ranges(Scratch(spark, "test"), df, "k", 50)
+    got = ranges.add(df, "n", "head").orderBy("k").collect()
+    numbers = [r.n for r in got]
+    assert numbers == sorted(numbers) and 8 < ranges.last + 1 < 16 and numbers[0] == 0 and numbers[-1] == ranges.last
+    least = {}
+    for r in got[1:]:
+        least.setdefault(r.n, r.k)
+    assert all(r.head == (r.n > 0 and r.k == least[r.n]) for r in got[1:])
+    assert max(numbers.count(n) for n in set(numbers)) < 120
+    none = Ranges(Scratch(spark, "test"), df.limit(0), "k", 50)
+    assert none.last == 0 and none.add(df, "n", "head").filter("n > 0 or head").isEmpty()
 
 
 def test_shared_folder_is_the_sessions(spark):

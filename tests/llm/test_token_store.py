@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.token_store import cut, read_store, write_store
+from tidemark.llm.token_store import cut, each, read_store, write_store
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,7 +27,7 @@ def test_cut_covers_and_finds_passages_again():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 49000, 20_000)
     ends = cut(a)
-    assert ends[-1] == len(a) and all(x < y for x, y in zip(ends, ends[1:], strict=False)) and max(np.diff(ends)) <= 2048
+    assert ends[-1] == len(a) and all(x < y for x, y in zip(ends, ends[1:], strict=False)) and max(np.diff(ends)) <= 4096
     b = np.concatenate([rng.integers(0, 49000, 77), a])
     chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *cut(x)[:-1]], cut(x), strict=True)}
     assert len(chunks(a) & chunks(b)) > 0.9 * len(chunks(a))
@@ -47,7 +47,7 @@ def test_round_trip(spark, tmp_path, rows):
     write_store(spark.createDataFrame([(d, t, "x", 1) for d, t in mixed], "doc_id long, text string, data string, pack int").repartition(5), PATH, top, rows=rows)
     got = sorted(tuple(r) for r in read_store(spark, top, ids=True).collect())
     assert got == expected(data)
-    names = spark.read.parquet(f"{top}/data").select(F.explode("names")).distinct().count()
+    names = spark.read.parquet(f"{top}/data").select(F.explode(each(F.col("names")))).distinct().count()
     stored = spark.read.parquet(f"{top}/data").filter("place is null").count()
     assert stored == spark.read.parquet(f"{top}/data").filter("place is null").select("name").distinct().count() < names
 

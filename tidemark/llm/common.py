@@ -19,6 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        told = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = told.get() if told.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -113,22 +118,34 @@ def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) ->
             return labels.drop("changed")
 
 
-def id_ranges(df: DataFrame, column: str, rows: int, most: int = 4096) -> tuple[list[int], Column]:
-    """Edges of ranges of about so many rows of a long column, and the number of the range of a value.
+class Ranges:
+    """Ranges of about so many rows of a long column, numbered from 0, for tables that have the column.
 
-    There are at most so many edges, each a value that occurs; a range begins with its edge. Values without number and
-    those below the first edge are in range 0. The edges are found with a sketch, sent as one constant, and looked up in
-    two steps of about the square root of their number each.
+    Spark's range partitioner finds them in the column alone, so every range is bounded however many there are, but for
+    rows of one value, which share a range. What is kept of them is their least value: a table of 16 bytes for each range.
+    It is looked up in two steps of about the square root of their number: the first is a constant, the second a join, for
+    which Spark sends the table to all tasks while it is small enough by its own threshold. Nulls are in range 0.
     """
-    n = min(most, max(1, -(-df.count() // rows)))
-    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("edges")).first()["edges"] if n > 1 else None
-    edges = sorted(set(found or []))
-    if not edges:
-        return [], F.lit(0)
-    step = int(len(edges) ** 0.5) + 1
-    parts = [edges[i : i + step] for i in range(0, len(edges), step)]
-    fine = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
-    coarse = F.from_json(F.lit(json.dumps([x[0] for x in parts])), "array<bigint>")
-    group = F.size(F.filter(coarse, lambda x: x <= F.col(column)))
-    within = F.size(F.filter(F.get(fine, group - 1), lambda x: x <= F.col(column)))
-    return edges, F.when(F.coalesce(F.col(column) >= edges[0], F.lit(False)), (group - 1) * step + within).otherwise(0).cast("int")
+
+    def __init__(self, scratch: Scratch, df: DataFrame, column: str, rows: int):
+        self.column, self.n = column, max(1, -(-df.count() // rows))
+        ranged = df.select(column).repartitionByRange(self.n, column).select(F.spark_partition_id().alias("p"), column)
+        step = int(self.n**0.5) + 1
+        # the held number of partitions may be greater than the one asked for
+        edges = ranged.filter(F.col(column).isNotNull()).groupBy("p").agg(F.min(column).alias("edge")).select(F.floor(F.col("p") / step).cast("int").alias("__g"), "p", "edge")
+        self.edges = scratch.save(edges.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("edge", "p"))).alias("__edges")), "ranges")
+        told = self.edges.select("__g", F.get("__edges", F.lit(0))["edge"].alias("edge"), F.get("__edges", F.size("__edges") - 1)["p"].alias("last")).orderBy("__g").collect()
+        self.groups, self.starts, self.last = [r["__g"] for r in told], [r["edge"] for r in told], told[-1]["last"] if told else 0
+
+    def add(self, df: DataFrame, part: str, head: str | None = None) -> DataFrame:
+        """df with part, the number of the range of each row, and head, whether its value is the least of a range but the first. Numbers have no gaps where no value is null."""
+        value = F.col(self.column)
+        starts, known = (F.from_json(F.lit(json.dumps(x)), f"array<{kind}>") for x, kind in ((self.starts, "bigint"), (self.groups, "int")))
+        group = F.get(known, F.greatest(F.size(F.filter(starts, lambda e: e <= value)), F.lit(1)) - 1) if self.starts else F.lit(0)
+        joined = df.withColumn("__g", group).join(self.edges, "__g", "left")
+        below = F.filter("__edges", lambda e: e["edge"] <= value)
+        own = F.get(below, F.size(below) - 1)
+        new = {part: F.coalesce(own["p"], F.lit(0))}
+        if head:
+            new[head] = F.coalesce((own["edge"] == value) & (own["p"] > 0), F.lit(False))
+        return joined.withColumns(new).drop("__g", "__edges")

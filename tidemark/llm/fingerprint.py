@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_ranges
+from tidemark.llm.common import Ranges, Scratch
 
 WHOLE, HASHES, SHIFTS = 8, 2, 32
 FIELDS = 0x0000000100000001  # two lanes are summed in one long
@@ -71,7 +71,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 1000) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2500) -> DataFrame:
     """Per document: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
@@ -81,13 +81,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     least = -(1 << 63)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    edges, part = id_ranges(own.select("k"), "k", rows)
+    ranges = Ranges(Scratch(docs.sparkSession, "fingerprints"), own.select("k"), "k", rows)
     first = own.agg(F.min("k")).first()[0]
-    known = F.from_json(F.lit(str(edges)), "array<bigint>")
     # a row goes to its own range; the first of a range also behind the range before, the first of all also behind the last
     at = lambda p, wrap, ghost: F.struct(p.cast("int").alias("p"), F.lit(wrap).alias("wrap"), F.lit(ghost).alias("ghost"))
-    to = F.array_compact(F.array(at(part, 0, False), F.when((F.array_position(known, F.col("k")) > 0) & (part > 0), at(part - 1, 0, True)), F.when(F.col("k") == (least if first is None else first), at(F.lit(len(edges)), 1, True))))
-    dealt = own.select("*", F.explode(to).alias("to")).select("to.*", "doc_id", "k", "text")
+    to = F.array_compact(F.array(at(F.col("own"), 0, False), F.when(F.col("head"), at(F.col("own") - 1, 0, True)), F.when(F.col("k") == (least if first is None else first), at(F.lit(ranges.last), 1, True))))
+    dealt = ranges.add(own, "own", "head").select("*", F.explode(to).alias("to")).select("to.*", "doc_id", "k", "text")
     order = W.partitionBy("p").orderBy("wrap", "k", "ghost", F.xxhash64("text"), "text")
     dealt = dealt.withColumns({"r": F.row_number().over(order), "next": F.lead("text").over(order)})
     n = F.length("text")

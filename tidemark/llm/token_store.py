@@ -1,15 +1,15 @@
 """Token ids in a content-addressed store.
 
-The id stream of each document, its end id included, is cut where a rolling hash of the last 32 ids has seven leading zero
-bits, so equal passages give equal chunks wherever they stand. A chunk is named by the SHA-256 of its ids, little-endian in
-2 bytes (4, if the vocabulary needs it), and every different chunk is stored once:
+The id stream of each document, its end id included, is cut where a rolling hash of the last 32 ids has eight leading zero
+bits, so equal passages give equal chunks wherever they stand. A chunk is named by the first 16 bytes of the SHA-256 of its
+ids, little-endian in 2 bytes (4, if the vocabulary needs it), and every different chunk is stored once:
 
   packs/pack=N   a row for each document, in ascending id order: its recipe (the names and lengths of its chunks), its Merkle
                  root, and inline the bytes of the chunks that occur in this document only
   shared         the bytes of every chunk that occurs in several documents, by name
   manifest       a row for each pack: how many documents and ids it has, and the Merkle root over its documents' roots
 
-Packs are ranges of ids of about as many documents each. Reading names every chunk again from its bytes, builds the roots
+Lists of names and of lengths are kept as one binary value each. Packs are ranges of ids of about as many documents each. Reading names every chunk again from its bytes, builds the roots
 of documents and packs from those names, and fails where one differs. A document's start is the number of ids in the packs
 before its own and, within its pack, in the documents before it.
 """
@@ -19,18 +19,23 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import END, Memory, PreTokens, spaced
-from tidemark.llm.common import Scratch, id_ranges, importable
+from tidemark.llm.bpe import byte_letters, lowers
+from tidemark.llm.common import Ranges, Scratch, importable
+from tidemark.llm.words import Words, even, groups, pieces
 
-WINDOW, LEADING, LEAST, MOST = 5, 7, 32, 2048  # a window of 2**5 ids; least and most ids of a chunk
+WINDOW, LEADING, LEAST, MOST = 5, 8, 64, 4096  # a window of 2**5 ids; least and most ids of a chunk
+NAME = 16  # bytes of a name
 GEAR = np.random.default_rng(11).integers(0, 2**32, 2**16, dtype=np.uint64).astype(np.uint32)
 
 
@@ -53,79 +58,74 @@ def cut(ids: np.ndarray) -> list[int]:
 
 
 def merkle(names: list[bytes]) -> bytes:
-    """The root of a binary tree of SHA-256 over names; of one name, its own hash; an odd one goes up as it is."""
-    level = [sha256(b"\0" + x).digest() for x in names] or [sha256(b"").digest()]
+    """The root of a binary tree of SHA-256 whose leaves are names; of one name, its hash; an odd one goes up as it is."""
+    level = names if len(names) > 1 else [sha256(b"\0" + b"".join(names)).digest()]
     while len(level) > 1:
         level = [sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
 
 
+def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the runs of ids that end at these places."""
+    places = np.concatenate([[0], ends]) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+
+
+LETTERS = dict(enumerate(byte_letters()))
+
+
 class Library:
-    """Ids of texts by the tokenizers library, which is asked once for each pre-token that is remembered, as are words between spaces.
+    """Ids of texts by the tokenizers library, which is asked once for each word that is remembered.
 
-    Pre-tokens are encoded apart from each other, so their ids side by side are those of the text. Texts whose lower case
-    could be composed further, which the library does not do but would on a second pass, go to it whole.
+    New words of small Latin letters, which are one pre-token each, go to its model; others go to it side by side with a
+    special token between them, which it takes out before anything else, so each is encoded by itself; if one holds that
+    token they are asked for one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of the library would only take memory
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pre = Tokenizer.from_file(path), PreTokens(path)
-        self.pre.file = None
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.near: dict[str, bytes] = {}
-        self.memory: dict[str, bytes] = {}
-        self.old: list[dict[str, bytes]] = [{}, {}]
+        special = [x for x in self.tokenizer.get_added_tokens_decoder().items() if x[1].special and not x[1].normalized]
+        self.between, self.mark = (special[0][0], special[0][1].content) if special else (None, "")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(END) or x in self.pre.special]] = True
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words: of their pre-tokens that aren't remembered, side by side in one text; each one's last token ends a word."""
-        parts = {w: self.pre.pattern.findall(w) for w in words}
-        new = []
-        for x in set().union(*parts.values()).difference(self.memory):
-            if (data := self.old[1].get(x)) is None:
-                new.append(x)
-            else:
-                self.memory[x] = data
-        longer = {}
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
-            data, last = ids.tobytes(), 0
-            for x, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist(), strict=True):
-                (self.memory if len(x) <= Memory.LONGEST else longer)[x] = data[last:end]
-                last = end
-        get = {**self.memory, **longer}.__getitem__ if longer else self.memory.__getitem__
-        return {w: b"".join(map(get, p)) for w, p in parts.items()}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        import unicodedata
-
-        split: list[list[str] | None] = []
-        for text in texts:
-            low = None if "<|" in text else self.pre.low(text)
-            split.append(None if low is None or not (low.isascii() or unicodedata.is_normalized("NFC", low)) else spaced(low))
-        if len(self.near) > Memory.LIMIT:
-            self.old[0], self.near = self.near, {}
-        if len(self.memory) > Memory.LIMIT:
-            self.old[1], self.memory = self.memory, {}
-        found = [s and list(map(self.near.get, s)) for s in split]
-        missing = {w for s, f in zip(split, found, strict=True) if f and None in f for w, x in zip(s, f, strict=True) if x is None}
-        learnt = {w: self.old[0][w] for w in missing if w in self.old[0]}
-        learnt |= self.learn(missing.difference(learnt))
-        self.near.update((w, x) for w, x in learnt.items() if len(w) <= Memory.LONGEST)
-        out = []
-        for text, s, f in zip(texts, split, found, strict=True):
-            if s is None:
-                out.append(self.whole(text))
+        self.words = Words(self.learn, self.kind, lowers(path))
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def learn(self, words: pa.Array) -> pa.Array:
+        small = pc.and_(even(words), pc.and_(pc.match_substring_regex(words, r"^\pL+$"), pc.equal(pc.utf8_lower(words), words))) if self.words.lower else pa.repeat(False, len(words))
+        if not pc.any(small).as_py():
+            return self.others(words)
+        own, encode = words.filter(small).to_pylist(), self.tokenizer.model.tokenize
+        found = [[t.id for t in encode(x if x.isascii() else x.encode().decode("latin-1").translate(LETTERS))] for x in own]
+        ids = pa.concat_arrays([packed(np.fromiter(chain.from_iterable(found), self.kind), np.cumsum(list(map(len, found)))), self.others(words.filter(pc.invert(small)))])
+        place = small.to_numpy(zero_copy_only=False)
+        return ids.take(pa.array(np.where(place, np.cumsum(place) - 1, len(own) + np.cumsum(~place) - 1)))
+
+    def others(self, words: pa.Array) -> pa.Array:
+        if not len(words):
+            return pa.array([], pa.binary())
+        if not self.mark or pc.any(pc.match_substring(words, self.mark)).as_py():
+            return pa.array([self.ids(w).tobytes() for w in words.to_pylist()], pa.binary())
+        ids = self.ids(self.mark.join(words.to_pylist()))
+        ends = np.append(np.flatnonzero(ids == self.between), len(ids))
+        return packed(ids[ids != self.between], ends - np.arange(len(ends)))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text in bytes."""
+        out: list[bytes] = []
+        for at, n in groups(texts):
+            if n == 1:
+                out.append(b"".join(self.words(pa.array([x]))[0].tobytes() for x in pieces(texts[at].as_py() or "")))
             else:
-                out.append(b"".join([learnt[w] if x is None else x for w, x in zip(s, f, strict=True)] if None in f else f))
+                ids, ends = self.words(texts.slice(at, n))
+                data, w = memoryview(ids.tobytes()), self.kind.itemsize
+                out += [bytes(data[a * w : b * w]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
 
 
@@ -133,78 +133,88 @@ LOADED: dict[str, Library] = {}
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, data, sizes, names): each document's ids in bytes, and its chunks' numbers of ids and names."""
+    """(doc_id, packed, sizes, names): each document's ids, compressed, and its chunks' numbers of ids and names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in LOADED:
             LOADED[path] = Library(path)
         library = LOADED[path]
-        end = np.array([end_id], library.kind).tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
-                data = [x + end for x in library([t or "" for t in batch.column(1).to_pylist()])]
-                sizes, names = [], []
-                for x in data:
-                    ids = np.frombuffer(x, library.kind)
-                    ends = cut(ids.astype(np.int64))
-                    w = library.kind.itemsize
-                    sizes.append(np.diff(ends, prepend=0).astype(np.int32))
-                    names.append([sha256(x[a * w : b * w]).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.binary()))], names=["doc_id", "data", "sizes", "names"])
+        w, end, press = library.kind.itemsize, np.array([end_id], library.kind).tobytes(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at, n in groups(batch.column(1)):
+                packed, sizes, names = [], [], []
+                for x in library(batch.column(1).slice(at, n)):
+                    data = x + end
+                    ends = cut(np.frombuffer(data, library.kind).astype(np.int64))
+                    sizes.append(np.diff(ends, prepend=0).astype("<i4").tobytes())
+                    names.append(b"".join([sha256(data[a * w : b * w]).digest()[:NAME] for a, b in zip([0, *ends[:-1]], ends, strict=True)]))
+                    packed.append(press.compress(data))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(x, pa.binary()) for x in (packed, sizes, names))], names=["doc_id", "packed", "sizes", "names"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return chosen.mapInArrow(run, "doc_id long, data binary, sizes array<int>, names array<binary>")
+    return chosen.mapInArrow(run, "doc_id long, packed binary, sizes binary, names binary")
+
+
+def each(names: Column) -> Column:
+    """The names in a binary value, an array."""
+    n = (F.octet_length(names) / NAME).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(names, i * NAME + 1, F.lit(NAME)))).otherwise(F.array().cast("array<binary>"))
 
 
-STORED = "pack int, place int, doc_id long, n_tokens long, sizes array<int>, names array<binary>, common array<binary>, root binary, name binary, data binary"
+STORED = "pack int, place int, doc_id long, n_tokens long, sizes binary, names binary, common binary, root binary, name binary, data binary"
+KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 
 
-def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", rows: int = 10_000) -> None:
+def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", rows: int = 2500) -> None:
     """The store of docs below the folder top, which must be shared and new.
 
     Null and empty texts have the end id alone. Documents of one id, or of none (which come first), follow each other by
     their bytes. Other columns aren't stored. rows: about so many documents make a pack.
     """
     scratch = Scratch(docs.sparkSession, "token-store")
+    ranges = Ranges(scratch, docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", rows)
     staged = scratch.save(encoded(docs, path, end_id, id_col, text_col), "staged")
-    chunk = staged.select("doc_id", F.explode("names").alias("name"))
+    chunk = staged.select("doc_id", F.explode(each(F.col("names"))).alias("name"))
     often = chunk.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").drop("n")
     common = chunk.join(often, "name").select("doc_id", F.struct("name", F.col("doc_id").eqNullSafe(F.col("first")).alias("own")).alias("c"))
     common = common.groupBy("doc_id").agg(F.collect_set("c").alias("common"))
-    told = common.select("doc_id", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("array<binary>").alias("names"), "common")
+    none = F.lit(None).cast("binary")
+    told = common.select("doc_id", none.alias("packed"), none.alias("sizes"), none.alias("names"), "common")
     both = told.union(staged.withColumn("common", F.lit(None).cast(told.schema["common"].dataType)))
-    edges, pack = id_ranges(staged.select("doc_id"), "doc_id", rows)
-    dealt = both.withColumn("pack", pack).repartitionById(len(edges) + 1, "pack").sortWithinPartitions("pack", "doc_id", "data")
+    # the rows that tell a document's common chunks sort before its own
+    dealt = ranges.add(both, "pack").repartitionById(ranges.last + 1, "pack").sortWithinPartitions("pack", "doc_id", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that tell a document's common chunks stand before its own row; chunks that it is the first to hold go out as rows."""
-        doc, shared, owned, here, place = object(), set(), set(), None, 0
+        """Chunks that a document is the first to hold go out as rows, other common ones not at all."""
+        doc, shared, owned, here, place, open_ = object(), set(), set(), None, 0, zstandard.ZstdDecompressor()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 out = []
-                for d, data, sizes, names, told, pack in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns), strict=True):
+                for d, packed, sizes, names, told, pack in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns), strict=True):
                     if d != doc:
                         doc, shared, owned = d, set(), set()
-                    if data is None:
+                    if packed is None:
                         shared = {c["name"] for c in told}
                         owned = {c["name"] for c in told if c["own"]}
                         continue
                     here, place = pack, place + 1 if pack == here else 0
-                    width, i, inline = len(data) // sum(sizes), 0, []
-                    for n, name in zip(sizes, names, strict=True):
-                        part, i = data[i : i + n * width], i + n * width
-                        if name not in shared:
-                            inline.append(part)
-                        elif name in owned:
-                            owned.remove(name)
-                            out.append((pack, None, None, None, None, None, None, None, name, part))
-                    out.append((pack, place, d, sum(sizes), sizes, names, sorted(shared & set(names)), merkle(names), None, b"".join(inline)))
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in STORED.split(", ")])
-
-    dealt.select("doc_id", "data", "sizes", "names", "common", "pack").mapInArrow(run, STORED).write.option("compression", "zstd").parquet(f"{top}/data")
-    scratch.drop(staged)
+                    data, ends = open_.decompress(packed), np.frombuffer(sizes, "<i4").cumsum()
+                    parts = [names[i : i + NAME] for i in range(0, len(names), NAME)]
+                    n, inline, held = int(ends[-1]), data, b""
+                    if shared:
+                        width, inline = len(data) // n, []
+                        for a, b, name in zip([0, *(ends[:-1] * width).tolist()], (ends * width).tolist(), parts, strict=True):
+                            if name not in shared:
+                                inline.append(data[a:b])
+                            elif name in owned:
+                                owned.remove(name)
+                                out.append((pack, None, None, None, None, None, None, None, name, data[a:b]))
+                        inline, held = b"".join(inline), b"".join(sorted(shared.intersection(parts)))
+                    out.append((pack, place, d, n, sizes, names, held, merkle(parts), None, inline))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(KINDS)], names=[x.split()[0] for x in STORED.split(", ")])
+
+    dealt.select("doc_id", "packed", "sizes", "names", "common", "pack").mapInArrow(run, STORED).write.option("compression", "zstd").parquet(f"{top}/data")
+    scratch.delete(scratch.top)
     packs(docs.sparkSession.read.schema(STORED).parquet(f"{top}/data").filter("place is not null")).write.parquet(f"{top}/manifest")
 
 
@@ -214,6 +224,13 @@ def packs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pack").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.sha2(roots, 256).alias("packroot"))
 
 
+def pairs_of(lists: pa.ListArray) -> Iterator[dict[bytes, bytes]]:
+    """Each list of structs (name, part) as a mapping; null: empty."""
+    for i in range(len(lists)):
+        own = lists[i].values
+        yield {} if own is None else dict(zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True))
+
+
 def read_store(spark, top: str, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of the store below top, every document put together from its chunks.
 
@@ -224,27 +241,27 @@ def read_store(spark, top: str, ids: bool = False) -> DataFrame:
     docs = data.filter("place is not null").drop("name")
     shared = data.filter("place is null").select("name", F.col("data").alias("part"))
     scratch = Scratch(spark, "token-read")
-    fetched = docs.select("pack", "place", F.explode("common").alias("name")).join(shared, "name").groupBy("pack", "place").agg(F.collect_list(F.struct("name", "part")).alias("parts"))
-    fetched = scratch.save(fetched, "fetched")
+    wanted = docs.filter(F.octet_length("common") > 0).select("pack", "place", F.explode(each(F.col("common"))).alias("name"))
+    fetched = wanted.join(shared, "name").groupBy("pack", "place").agg(F.collect_list(F.struct("name", "part")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 crcs, found, streams = [], [], []
-                for n, sizes, names, common, root, inline, parts in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
-                    have, known, i = {p["name"]: p["part"] for p in parts or ()}, set(common), 0
-                    own = sum(k for k, x in zip(sizes, names, strict=True) if x not in known)
-                    width = len(inline) // own if own else len(have[names[0]]) // sizes[0]
-                    pieces = []
-                    for k, name in zip(sizes, names, strict=True):
-                        if name in known:
-                            pieces.append(have[name])
-                        else:
-                            pieces.append(inline[i : i + k * width])
+                for n, sizes, names, root, inline, have in zip(*(c.to_pylist() for c in batch.columns[3:8]), pairs_of(batch.column(8)), strict=True):
+                    sizes, parts, i = np.frombuffer(sizes, "<i4").tolist(), [names[i : i + NAME] for i in range(0, len(names), NAME)], 0
+                    own = sum(k for k, x in zip(sizes, parts, strict=True) if x not in have) if have else n
+                    width = len(inline) // own if own else len(have[parts[0]]) // sizes[0]
+                    stream = []
+                    for k, name in zip(sizes, parts, strict=True):
+                        if (part := have.get(name)) is None:
+                            part = inline[i : i + k * width]
                             i += k * width
-                    now = merkle([sha256(p).digest() for p in pieces])
-                    stream = np.frombuffer(b"".join(pieces), f"<u{width}").astype("<u4")
+                        if sha256(part).digest()[:NAME] != name:
+                            raise ValueError("a chunk differs from its name, and so the document differs from its root")
+                        stream.append(part)
+                    now, stream = merkle(parts), np.frombuffer(b"".join(stream), f"<u{width}").astype("<u4")
                     if now != root or len(stream) != n:
                         raise ValueError("a document differs from its root")
                     found.append(now)
@@ -252,11 +269,10 @@ def read_store(spark, top: str, ids: bool = False) -> DataFrame:
                     streams.append(stream.astype(np.int32) if ids else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary()), pa.array(crcs, pa.int64()), pa.array(streams, pa.list_(pa.int32()))], names=["pack", "place", "doc_id", "n_tokens", "root", "ids_crc32", "ids"])
 
-    names = ["pack", "place", "doc_id", "n_tokens", "sizes", "names", "common", "root", "data", "parts"]
-    inline = docs.filter(F.size("common") == 0).withColumn("parts", F.lit(None).cast(fetched.schema["parts"].dataType))
-    whole = inline.select(*names).union(docs.filter(F.size("common") > 0).join(fetched, ["pack", "place"], "left").select(*names))
+    names = ["pack", "place", "doc_id", "n_tokens", "sizes", "names", "root", "data", "parts"]
+    inline = docs.filter(F.octet_length("common") == 0).withColumn("parts", F.lit(None).cast(fetched.schema["parts"].dataType))
+    whole = inline.select(*names).union(docs.filter(F.octet_length("common") > 0).join(fetched, ["pack", "place"], "left").select(*names))
     rows = scratch.save(whole.mapInArrow(run, "pack int, place int, doc_id long, n_tokens long, root binary, ids_crc32 long, ids array<int>"), "rows")
-    scratch.drop(fetched)
     manifest = spark.read.parquet(f"{top}/manifest")
     now = packs(rows).select("pack", F.col("packroot").alias("seen"))
     before = F.sum("ids").over(W.orderBy("pack")) - F.col("ids")
