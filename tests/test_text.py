@@ -71,17 +71,20 @@ def test_redaction(spark, raw, clean, tags):
     if raw and raw.startswith("card 4111"):
         tags = ["PAYMENT_CARD"]
     df = spark.createDataFrame([(raw,)], "t string")
-    now, found = pii.redact(F.col("t"))
-    got = df.select(now.alias("t"), found.alias("f")).first()
+    got = pii.redact(df, "t", entities="f").first()
     assert (got.t, got.f) == (clean, tags)
-    again, _ = pii.redact(F.col("t"))
-    assert spark.createDataFrame([(got.t,)], "t string").select(again).first()[0] == clean
+    assert pii.redact(spark.createDataFrame([(got.t,)], "t string"), "t").first()[0] == clean
+
+
+def test_only_the_match_itself_is_replaced(spark):
+    raw = "Card 4111111111111111 and key 999941111111111111117777. My name is Jane Doe, not my name is The Jane Doe"
+    got = pii.redact(spark.createDataFrame([(raw,)], "t string"), "t").first()
+    assert got.t == "Card [REDACTED_PAYMENT_CARD] and key 999941111111111111117777. My name is [REDACTED_NAME], not my name is The Jane Doe"
 
 
 def test_surrogates_are_keyed(spark):
     import hashlib
     import hmac
 
-    now, _ = pii.redact(F.col("t"), secret=b"key")
-    got = spark.createDataFrame([("x a@b.co y",)], "t string").select(now).first()[0]
+    got = pii.redact(spark.createDataFrame([("x a@b.co y",)], "t string"), "t", secret=b"key").first()[0]
     assert got == f"x [REDACTED_EMAIL_{hmac.new(b'key', b'a@b.co', hashlib.sha256).hexdigest()[:8]}] y"

@@ -91,11 +91,15 @@ def normalize(df: DataFrame, index: str = "row_index", as_of: str = "2024-01-01T
 
 
 def spam(text: Column) -> Column:
-    """Whether one character is three quarters of a text of at least 8."""
+    """Whether one character is three quarters of a text of at least 8.
+
+    Such a character stands twice in a row somewhere, and three times in texts of more than 8, so only those that do are counted.
+    """
     s = F.lower(strip(text))
-    chars = F.split(s, "")
-    most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.length(s) - F.length(F.replace(s, c, F.lit("")))))
-    return (F.length(s) >= 8) & (most / F.length(s) >= 0.75)
+    n = F.length(s)
+    runs = lambda more: F.array_distinct(F.regexp_extract_all(s, F.lit(rf"(?s)(.)\1{more}"), F.lit(1)))
+    most = F.array_max(F.transform(F.when(n == 8, runs("")).otherwise(runs(r"\1")), lambda c: n - F.length(F.replace(s, c, F.lit("")))))
+    return (n >= 8) & F.coalesce(most / n >= 0.75, F.lit(False))
 
 
 def rejection(text: Column) -> Column:
@@ -107,12 +111,14 @@ def rejection(text: Column) -> Column:
 
 def gate(df: DataFrame, text: str = "review_text", index: str = "row_index", most: int = 4000) -> DataFrame:
     """df with rejection_code (null: clean) and truncated; of equal texts among the otherwise clean rows the first by index is kept."""
-    key = F.regexp_replace(F.lower(strip(F.col(text))), r"(?U)\s+", " ")
+    key = F.sha2(F.regexp_replace(F.lower(strip(F.col(text))), r"(?U)\s+", " "), 256)
     own = df.withColumns({"__code": rejection(F.col(text)), "__key": key})
-    turn = F.row_number().over(W.partitionBy("__key", F.col("__code").isNull()).orderBy(index))
-    code = F.coalesce("__code", F.when(turn > 1, "DUPLICATE_TEXT"))
+    # only texts that repeat are joined back, each with its first index, however many rows have it
+    again = own.filter("__code is null").groupBy("__key").agg(F.min(index).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    code = F.coalesce("__code", F.when(F.col("__first") < F.col(index), "DUPLICATE_TEXT"))
     long = F.length(text) > most
-    return own.withColumns({"rejection_code": code, "truncated": F.coalesce(long, F.lit(False))}).withColumn(text, F.substring(text, 1, most)).drop("__code", "__key")
+    out = own.join(again, "__key", "left").withColumns({"rejection_code": code, "truncated": F.coalesce(long, F.lit(False))})
+    return out.withColumn(text, F.substring(text, 1, most)).select(*df.columns, "rejection_code", "truncated")
 
 
 def manifest(gated: DataFrame, warnings: Column | None = None) -> DataFrame:
