@@ -163,16 +163,31 @@ def markdown_escaped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"([\\`*_{}\[\]()#+!|<>])", r"\\$1"), r"[\r\n]+", " ")
 
 
-def first_of(text: Column, buckets: dict[str, str], default: str) -> Column:
-    """The first bucket whose pattern the text matches."""
-    out = None
-    for name, pattern in buckets.items():
-        out = F.when(F.lower(text).rlike(pattern), name) if out is None else out.when(F.lower(text).rlike(pattern), name)
-    return out.otherwise(default)
-
-
 def title_of(keywords: Column) -> Column:
     """The first keyword and the first after it that shares no word with it, in title case, joined by ' & '."""
     head = F.get(keywords, F.lit(0))
     other = F.get(F.filter(F.slice(keywords, 2, 100), lambda k: ~F.arrays_overlap(F.split(k, " "), F.split(head, " "))), F.lit(0))
     return F.concat_ws(" & ", F.initcap(head), F.initcap(other))
+
+
+#: What the client takes for a hazard, a defect, a wish or praise, and the score of each.
+PARTS = r"(?i)(?<=[.!?])\s+|(?<=[,;])\s+(?=but\b|however\b|although\b|yet\b|though\b|except\b)"
+KINDS = (
+    ("CRITICAL_SAFETY", 0.05, r"\b(dermatitis|chemical burn|burns|burning|allergic|rash|swelling|hospital|infection|shattered|broken glass|shards|bleeding|blister)\b"),
+    ("DEFECT", 0.15, r"\b(broke|broken|cracked|leak|leaked|leaking|clog|clogged|jams|jammed|explode|exploded|defective|pump|dispenser|dropper|smell terrible|spoiled|greasy|breakout|acne|dryness|chapping)\b"),
+    ("FEATURE_REQUEST", 0.65, r"\b(would love|wish|please make|please add|suggest|unscented|fragrance-free|travel-friendly|refill|bigger size|pump option|shade range)\b"),
+    ("PRAISE", 0.95, r"\b(love|loved|holy grail|amazing|glow|best|hydrated|hydrating|smoothed|smooth|soothing|5 stars|repurchase|favorite|perfect|delight)\b"),
+)
+
+
+def analysed_clauses(text: Column) -> Column:
+    """Array of (text, intent, score) of the clauses between sentence ends and turns, by the first kind of word found."""
+
+    def told(part: Column) -> Column:
+        low, intent, score = F.lower(part), F.lit("NOISE"), F.lit(0.5)
+        for name, value, pattern in reversed(KINDS):
+            intent, score = F.when(low.rlike(pattern), name).otherwise(intent), F.when(low.rlike(pattern), value).otherwise(score)
+        return F.struct(part.alias("text"), intent.alias("intent"), score.alias("score"))
+
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), PARTS, -1), lambda p: strip(p))
+    return F.transform(F.filter(parts, lambda p: p != ""), told)

@@ -92,11 +92,10 @@ def verdict(stats: DataFrame) -> DataFrame:
     return one.select(dr.alias("rating_delta"), dn.alias("negative_delta"), F.when((dr <= -0.2) | (dn >= 4.0), "REGRESSED").when((dr >= 0.2) | (dn <= -4.0), "IMPROVED").otherwise("STABLE").alias("verdict"))
 
 
-def kpis(reviews: DataFrame, rating: str = "rating", sentiment: str = "sentiment", complaint: str = "sentiment = 'NEGATIVE'", actionable: str = "sentiment <> 'NEUTRAL'", pii: str = "false") -> DataFrame:
-    """Net sentiment, shares of defects, of actionable and of redacted rows, hidden and severe complaints, in one row."""
-    c, r = F.expr(complaint), F.col(rating)
-    n = F.count("*")
-    return reviews.agg(n.alias("total"), F.round((F.count_if(F.col(sentiment) == "POSITIVE") - F.count_if(F.col(sentiment) == "NEGATIVE")) * 100.0 / n, 1).alias("net_sentiment"), F.round(F.count_if(c) * 100.0 / n, 2).alias("defect_pct"), F.count_if(c & (r >= 4)).alias("hidden_defects"), F.round(F.count_if(F.expr(actionable)) * 100.0 / n, 2).alias("actionable_pct"), F.round(F.count_if(F.expr(pii)) * 100.0 / n, 2).alias("redacted_pct"), F.count_if(c & (r <= 2)).alias("severe"))
+def entity_summary(rows: DataFrame, entities: str = "entities") -> DataFrame:
+    """One row: how many rows have redacted entities, and their share. entities: joined by ;, empty or null for none."""
+    hit = F.coalesce(F.col(entities), F.lit("")) != ""
+    return rows.agg(F.count("*").alias("total"), F.count_if(hit).alias("pii_count"), rate(F.count_if(hit), F.count("*")).alias("pii_rate"))
 
 
 def word_counts(texts: DataFrame, tokens: Column, stop: list[str], top: int = 60) -> DataFrame:
@@ -113,6 +112,39 @@ def classification(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
     return s.select("label", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"), "support")
 
 
+def overall(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
+    """One row: accuracy, the means over classes of precision, recall and F1 (to 4 places), and how many rows."""
+    cell = pairs.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    both = cell.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.when(F.col("t") == F.col("g"), F.col("n")).otherwise(0).alias("hit"), F.col("n").alias("true"), F.lit(0).cast("long").alias("said")), F.struct(F.col("g").alias("label"), F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("true"), F.col("n").alias("said")))).alias("r")).select("r.*")
+    s = both.groupBy("label").agg(F.sum("hit").alias("hit"), F.sum("true").alias("support"), F.sum("said").alias("said"))
+    p, r = (F.when(F.col(x) > 0, F.col("hit") / F.col(x)).otherwise(0.0) for x in ("said", "support"))
+    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return s.agg(F.round(F.sum("hit") / F.sum("support"), 4).alias("accuracy"), *(F.round(F.avg(x), 4).alias(f"macro_{n}") for n, x in (("precision", p), ("recall", r), ("f1", f))), F.sum("support").alias("n"))
+
+
+def compared(rows: DataFrame, truth: str, a: str, b: str) -> DataFrame:
+    """One row: the accuracy of two guesses on the same rows, the difference, and how often they disagree."""
+    right = lambda g: F.avg((F.col(g) == F.col(truth)).cast("int"))
+    other, n = F.count_if(F.col(a) != F.col(b)), F.count("*")
+    return rows.agg(F.round(right(a), 4).alias("accuracy_a"), F.round(right(b), 4).alias("accuracy_b"), F.round(right(b) - right(a), 4).alias("accuracy_delta"), other.alias("disagree"), rate(other, n, 2).alias("disagreement_pct"), n.alias("n"))
+
+
+def coverage(rows: DataFrame, label: str) -> DataFrame:
+    """One row: the share of rows that have a label."""
+    return rows.agg(rate(F.count(label), F.count("*"), 2).alias("coverage_pct"))
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """One row: how many nulls each column has."""
+    return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
+
+
+def linkage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: rows of left, how many have their key in right, and the share."""
+    own = left.join(right.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    return own.agg(F.count("*").alias("rows"), F.count("__hit").alias("linked"), rate(F.count("__hit"), F.count("*"), 2).alias("linkage_pct"))
+
+
 def reliability(scored: DataFrame, truth: Column, p: Column, bins: int = 10) -> DataFrame:
     """Per bin of probability that has rows: how many, mean probability, share that is true."""
     return scored.groupBy(F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean_p"), F.round(F.avg(truth.cast("double")), 4).alias("observed"))

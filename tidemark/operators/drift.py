@@ -69,11 +69,14 @@ def psi(kt: Column, nt: Column, kb: Column, nb: Column) -> Column:
 
 
 def timeline(reviews: DataFrame, cohort: str = "batch", theme: str = "theme", sentiment: str = "sentiment") -> DataFrame:
-    """A row for each cohort in order: counts, negative rate, psi against the one before, status."""
-    counted = reviews.filter(F.col(cohort).isNotNull()).groupBy(cohort).agg(
-        F.count("*").alias("review_count"), *(F.count_if(F.col(sentiment) == s).alias(f"{s.lower()}_count") for s in ("NEGATIVE", "NEUTRAL", "POSITIVE"))
-    )
-    moved = pairs(distributions(reviews, cohort, theme), cohort, theme).groupBy(cohort).agg(psi(F.col("kt"), F.col("nt"), F.col("kb"), F.col("nb")).alias("psi"), F.first("previous").alias("previous"))
+    """A row for each cohort in order: counts, negative rate, psi against the one before, status.
+
+    All comes from one count of cohorts, themes and sentiments, which is small, so reviews are read once.
+    """
+    cells = reviews.filter(F.col(cohort).isNotNull()).groupBy(cohort, theme, sentiment).agg(F.count("*").alias("n"))
+    of = lambda s: F.sum(F.when(F.col(sentiment) == s, F.col("n")).otherwise(0)).alias(f"{s.lower()}_count")
+    counted = cells.groupBy(cohort).agg(F.sum("n").alias("review_count"), *map(of, ("NEGATIVE", "NEUTRAL", "POSITIVE")))
+    moved = pairs(cells.groupBy(cohort, theme).agg(F.sum("n").alias("n")), cohort, theme).groupBy(cohort).agg(psi(F.col("kt"), F.col("nt"), F.col("kb"), F.col("nb")).alias("psi"), F.first("previous").alias("previous"))
     joined = counted.join(moved, cohort)
     few = F.col("review_count") < LEAST_ROWS
     value = F.when(F.col("previous").isNull(), 0.0).when(~few, F.round("psi", 4))
@@ -81,6 +84,26 @@ def timeline(reviews: DataFrame, cohort: str = "batch", theme: str = "theme", se
     return joined.withColumns({"psi": value, "status": status, "negative_rate": F.round(F.col("negative_count") * 100.0 / F.col("review_count"), 1)}).drop("previous")
 
 
+def drift_rows(line: DataFrame, drivers: DataFrame | None = None, cohort: str = "batch", theme: str = "theme") -> DataFrame:
+    """The rows that a report of drift has: the timeline in order, with the theme that rose most in each cohort and by how much."""
+    out = line.select(F.col(cohort).alias("Batch_or_Version"), F.col("review_count").alias("Total_Reviews"), F.col("negative_count").alias("Negative_Count"), F.col("positive_count").alias("Positive_Count"), F.col("neutral_count").alias("Neutral_Count"), F.col("negative_rate").alias("Negative_Rate_Pct"), F.col("psi").alias("PSI_Score"), F.col("status").alias("Drift_Status"))
+    if drivers is None:
+        return out
+    best = drivers.groupBy(F.col(cohort).alias("Batch_or_Version")).agg(F.min_by(F.struct(F.col(theme).alias("t"), F.col("rate_delta_pp").alias("d")), F.struct(-F.col("rate_delta_pp"), F.col(theme))).alias("b"))
+    return out.join(best, "Batch_or_Version", "left").select(*out.columns, F.col("b.t").alias("Primary_Surging_Theme"), F.coalesce("b.d", F.lit(0.0)).alias("Surging_Delta_Pct"))
+
+
+def psi_band(line: DataFrame, least: float = CRITICAL, strict: bool = False) -> DataFrame:
+    """The cohorts whose psi reaches a threshold; strict: exceeds it, as the client has it."""
+    return line.filter(F.col("psi") > least if strict else F.col("psi") >= least)
+
+
+def explicit_order(counts: DataFrame, order: list[str], cohort: str = "batch") -> DataFrame:
+    """counts with cohorts named by their place in a given order, in which they then stand; those that it doesn't name go."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(cohort))
+    return counts.filter(place > 0).withColumn(cohort, F.concat(F.lpad((place - 1).cast("string"), 6, "0"), F.lit("|"), F.col(cohort)))
+
+
 def attribution(counts: DataFrame, cohort: str = "batch", theme: str = "theme") -> DataFrame:
     """Per cohort and theme against the cohort before: rates, their difference, corrected relative risk, exact tests, significance."""
     kt, kb, nt, nb = (F.col(c) for c in ("kt", "kb", "nt", "nb"))

@@ -15,12 +15,12 @@ def grams(tokens: Column, most: int = 2) -> Column:
     return F.array_compact(F.concat(*out))
 
 
-def term_counts(texts: DataFrame, group: str, tokens: Column, stop: list[str], most: int = 2, features: int = 3000) -> DataFrame:
-    """(group, term, tf) of the most frequent terms of the corpus, ties to the lesser term."""
+def term_counts(texts: DataFrame, group: str, tokens: Column, stop: list[str], most: int = 2, features: int = 3000, least_groups: int = 1) -> DataFrame:
+    """(group, term, tf) of the most frequent terms of the corpus that at least so many groups have, ties to the lesser term."""
     kept = F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
     words = texts.select(group, kept.alias("__t"))
     cell = words.select(group, F.explode(grams(F.col("__t"), most)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("tf"))
-    top = cell.groupBy("term").agg(F.sum("tf").alias("all")).orderBy(F.desc("all"), "term").limit(features).select("term")
+    top = cell.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).filter(F.col("df") >= least_groups).orderBy(F.desc("all"), "term").limit(features).select("term")
     return cell.join(F.broadcast(top), "term")
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as L
@@ -76,13 +75,16 @@ def review_id(text: Column, stamp: Column, index: Column) -> Column:
     return F.concat(F.lit("REV-U-"), F.upper(F.substring(F.sha2(F.concat_ws("_", text, stamp, index.cast("string")), 256), 1, 12)))
 
 
-def normalize(df: DataFrame, index: str = "row_index", as_of: str = "2024-01-01T00:00:00", stamp: str = "static_ts") -> DataFrame:
-    """The ten canonical columns of a frame of any schema, with what wasn't mapped in extra_metadata. df must hold a row index."""
+def normalize(df: DataFrame, index: str = "row_index", as_of: str | None = None, stamp: str = "static_ts") -> DataFrame:
+    """The ten canonical columns of a frame of any schema, with what wasn't mapped in extra_metadata. df must hold a row index.
+
+    An unreadable date becomes as_of, by default now; mapping_figures tells how many are readable.
+    """
     found = {t: c for t, (c, _) in map_columns([c for c in df.columns if c != index]).items()}
     rest = [c for c in df.columns if c not in found.values() and c != index]
     rated = normalize_ratings(df, found["rating"]) if "rating" in found else df.withColumn("rating", F.lit(3))
     raw = F.col(found["created_at"]) if "created_at" in found else F.lit(None).cast("string")
-    at, _ = timestamp_of(raw, F.lit(as_of).cast("timestamp"))
+    at, _ = timestamp_of(raw, F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp())
     text = strip(F.col(found["review_text"]).cast("string"))
     pick = lambda t: F.coalesce(F.nullif(F.trim(F.col(found[t]).cast("string")), F.lit("")), F.lit(DEFAULTS[t])) if t in found else F.lit(DEFAULTS[t])
     extra = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*(F.col(c).cast("string") for c in rest))), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
@@ -132,10 +134,12 @@ def manifest(gated: DataFrame, warnings: Column | None = None) -> DataFrame:
 
 
 def validation(df: DataFrame, text: str, rating: str | None = None, date: str | None = None, label: str | None = None, short: int = 0) -> DataFrame:
-    """(check, level, n_affected) of a corpus in one aggregate; a rating outside 1 to 5, or that isn't a number, is a warning."""
+    """(check, level, n_affected) of a corpus; a rating outside 1 to 5, or that isn't a number, is a warning.
+
+    Rows that repeat a text count once less than there are of it, so it doesn't matter which of them is the first.
+    """
     t = strip(F.coalesce(F.col(text), F.lit("")))
-    first = F.row_number().over(W.partitionBy(F.lower(t)).orderBy(F.monotonically_increasing_id()))
-    checks: dict[str, tuple[str, Column]] = {"blank_text": ("ERROR", t == ""), "duplicate_text": ("WARNING", (t != "") & (F.col("__turn") > 1))}
+    checks: dict[str, tuple[str, Column]] = {"blank_text": ("ERROR", t == "")}
     if short:
         checks["short_text"] = ("WARNING", (t != "") & (F.length(t) < short))
     if rating:
@@ -145,15 +149,56 @@ def validation(df: DataFrame, text: str, rating: str | None = None, date: str |
         checks["unreadable_date"] = ("WARNING", F.col(date).cast("string").try_cast("timestamp").isNull())
     if label:
         checks["unknown_label"] = ("WARNING", ~F.coalesce(F.col(label), F.lit("")).isin("NEGATIVE", "NEUTRAL", "POSITIVE"))
-    one = df.withColumn("__turn", first).agg(*(F.count_if(c).alias(k) for k, (_, c) in checks.items()))
-    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.lit(level).alias("level"), F.col(k).alias("n_affected")) for k, (level, _) in checks.items()))
-    return one.select(F.inline(rows))
+    one = df.agg(*(F.count_if(c).alias(k) for k, (_, c) in checks.items()))
+    again = df.filter(t != "").groupBy(F.sha2(F.lower(t), 256).alias("__k")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_text"))
+    levels = {k: level for k, (level, _) in checks.items()} | {"duplicate_text": "WARNING"}
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.lit(level).alias("level"), F.col(k).alias("n_affected")) for k, level in levels.items()))
+    return one.crossJoin(F.broadcast(again)).select(F.inline(rows))
+
+
+def repaired(df: DataFrame, text: str, rating: str | None = None, date: str | None = None, most: int = 4000, oldest: int = 2000, as_of: Column | None = None) -> DataFrame:
+    """df with too long texts cut, ratings rounded to 1 to 5 (unreadable: 3), dates before oldest or beyond the year after as_of
+    (default: now) replaced by it, and warnings, how many of these a row has."""
+    now = F.current_timestamp() if as_of is None else as_of
+    long = F.length(text) > most
+    out, warnings = {text: F.substring(text, 1, most)}, [F.coalesce(long, F.lit(False))]
+    if rating:
+        r = F.col(rating).cast("string").try_cast("double")
+        even = F.least(F.greatest(F.bround(r), F.lit(1.0)), F.lit(5.0)).cast("int")
+        out[rating] = F.when(r.isNull() | F.isnan(r), 3).otherwise(even)
+        warnings.append(~F.coalesce(r == even, F.lit(False)) | F.coalesce(F.isnan(r), F.lit(False)))
+    if date:
+        d = F.col(date).cast("timestamp")
+        odd = F.coalesce((F.year(d) < oldest) | (F.year(d) > F.year(now) + 1), F.lit(True))
+        out[date] = F.when(odd, now).otherwise(d)
+        warnings.append(odd)
+    total = sum((w.cast("int") for w in warnings[1:]), warnings[0].cast("int"))
+    return df.withColumns({**out, "warnings": total})
+
+
+def mapping_report(df: DataFrame, index: str = "row_index") -> DataFrame:
+    """(target, column, confidence) of each canonical column that was found, and (null, column, null) of those that weren't used."""
+    found = map_columns([c for c in df.columns if c != index])
+    rest = [c for c in df.columns if c != index and c not in {c for c, _ in found.values()}]
+    rows = [(t, c, score) for t, (c, score) in found.items()] + [(None, c, None) for c in rest]
+    return df.sparkSession.createDataFrame(rows, "target string, column string, confidence double")
+
+
+def mapping_figures(df: DataFrame, index: str = "row_index") -> DataFrame:
+    """One row: how many rows, the rating scale that the 99th percentile shows, the share of readable dates."""
+    found = {t: c for t, (c, _) in map_columns([c for c in df.columns if c != index]).items()}
+    top = F.percentile(star_value(F.col(found["rating"])), 0.99) if "rating" in found else F.lit(None).cast("double")
+    readable = F.avg(timestamp_of(F.col(found["created_at"]), F.current_timestamp())[1].cast("int")) if "created_at" in found else F.lit(0.0)
+    out = df.agg(F.count("*").alias("total_rows"), top.alias("top"), F.round(readable, 4).alias("date_success_rate"))
+    scale = F.when(F.col("top") > 10, "0-100").when(F.col("top") > 5, "1-10").when(F.col("top").isNotNull(), "1-5")
+    return out.select("total_rows", scale.alias("rating_scale"), "date_success_rate")
+
+
+def preview(normalized: DataFrame, n: int = 3) -> DataFrame:
+    """The first rows of a normalised frame."""
+    return normalized.orderBy("row_index").limit(n)
 
 
 def public_view(df: DataFrame, allowed: Sequence[str], raw: str, redacted: str, unmask: bool) -> DataFrame:
     """Only allowed columns and display_text; never the raw text unless unmasked for a role that may see it."""
     return df.select(*(c for c in df.columns if c in allowed and c != raw), F.col(raw if unmask else redacted).alias("display_text"))
-
-
-def buckets(mapping: Mapping[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))

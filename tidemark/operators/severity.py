@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TIERS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 # Thresholds.
 THEME = {"critical": 0.35, "critical_volume": 500, "high": 0.35, "medium": 0.20}
+COMPLAINT = {"critical": 120, "high": 60, "medium": 20}
 WEIGHTS = {"P0": 3.0, "P1": 2.0, "P2": 1.2, "P3": 0.8}
 POINTS = {"LOW": 3, "MEDIUM": 5, "HIGH": 13}
 EFFORT = {"HIGH": "formula|burn|reaction|ingredient|architecture|rewrite", "MEDIUM": "packaging|pump|cap|leak|biometric|button|ui"}
@@ -45,7 +46,7 @@ def complaint_severity(count: Column, total: Column, p0: Column | None = None, p
     """By the share of all complaints, or by volume where their number isn't known."""
     share = count / F.when(total > 0, total)
     known = F.when((share >= 0.20) & (count >= 3), 3).when((share >= 0.14) & (count >= 2), 2).when(share >= 0.08, 1).otherwise(0)
-    rank = F.when(total > 0, known).otherwise(F.when(count >= 120, 3).when(count >= 60, 2).when(count >= 20, 1).otherwise(0))
+    rank = F.when(total > 0, known).otherwise(F.when(count >= COMPLAINT["critical"], 3).when(count >= COMPLAINT["high"], 2).when(count >= COMPLAINT["medium"], 1).otherwise(0))
     zero = F.lit(0)
     p0, p1 = (F.coalesce(p, zero) if p is not None else zero for p in (p0, p1))
     grave = F.when((p0 >= 2) | ((p0 >= 1) & (count >= 4)), 3).when(p0 > 0, 2)
@@ -53,6 +54,12 @@ def complaint_severity(count: Column, total: Column, p0: Column | None = None, p
     return tier(F.greatest(rank, F.when(p0 > 0, grave).otherwise(F.coalesce(blocked, zero))))
 
 
+def thresholds(spark: SparkSession) -> DataFrame:
+    """(scope, name, value) of the thresholds in force."""
+    rows = [(scope, k, float(v)) for scope, of in (("theme", THEME), ("complaint", COMPLAINT)) for k, v in of.items()]
+    return spark.createDataFrame(rows, "scope string, name string, value double")
+
+
 def effort(title: Column) -> Column:
     t = F.lower(title)
     return F.when(t.rlike(EFFORT["HIGH"]), "HIGH").when(t.rlike(EFFORT["MEDIUM"]), "MEDIUM").otherwise("LOW")

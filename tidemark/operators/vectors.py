@@ -37,11 +37,12 @@ def finite(a: Column) -> Column:
     return a.isNotNull() & F.forall(a, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
 
-def centroids(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
-    """(cluster, n, centroid): the mean of each cluster's vectors, by component; clusters of length 0 are left out when scaled."""
+def centroids(rows: DataFrame, cluster: str, vector: str, scaled: bool = False) -> DataFrame:
+    """(cluster, n, centroid): the mean of each cluster's vectors, by component; scaled: of length 1, and those of length 0 left out."""
     part = rows.filter(finite(F.col(vector))).select(cluster, F.posexplode(vector).alias("i", "x"))
     mean = part.groupBy(cluster, "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    return mean.groupBy(cluster).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
+    out = mean.groupBy(cluster).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
+    return out.filter(norm(F.col("centroid")) > 0).withColumn("centroid", unit(F.col("centroid"))) if scaled else out
 
 
 def with_distance(rows: DataFrame, centers: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -68,11 +69,16 @@ def strata(rows: DataFrame, centers: DataFrame, cluster: str, vector: str, key:
 
 
 def nearest(rows: DataFrame, centers: DataFrame, cluster: str, vector: str, key: str) -> DataFrame:
-    """Each vector with the centroid of highest cosine, ties to the lesser cluster; -1 for a null vector. centers: a bounded dimension."""
-    both = rows.select(key, F.col(vector).alias("__v")).join(F.broadcast(centers.select(F.col(cluster).alias("__c"), "centroid")), F.lit(True))
-    s = F.round(cosine(F.col("__v"), F.col("centroid")), 6)
-    best = both.groupBy(key).agg(F.max(F.struct(s.alias("similarity"), (-F.col("__c")).alias("c"))).alias("m"), F.first("__v").alias("v"))
-    return best.select(key, F.when(F.col("v").isNull(), -1).otherwise(-F.col("m.c")).alias(cluster), F.coalesce("m.similarity", F.lit(0.0)).alias("similarity"))
+    """Each row with the centroid of highest cosine, ties to the lesser cluster; -1 for a null vector.
+
+    centers is a dimension of one row for each cluster; it goes to the rows as one array, so no vector moves and rows that
+    repeat a key stand for themselves.
+    """
+    every = centers.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "centroid")).alias("__all"))
+    best = F.array_max(F.transform("__all", lambda x: F.struct(F.round(cosine(F.col(vector), x["centroid"]), 6).alias("similarity"), (-x["c"]).alias("c"))))
+    out = rows.crossJoin(F.broadcast(every)).withColumn("__best", best)
+    none = F.col(vector).isNull() | F.col("__best").isNull()
+    return out.select(key, F.when(none, -1).otherwise(-F.col("__best.c")).alias(cluster), F.when(none, 0.0).otherwise(F.col("__best.similarity")).alias("similarity"))
 
 
 def search(rows: DataFrame, query: list[float], vector: str, key: str, n: int = 10) -> DataFrame:

@@ -6,38 +6,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import aggregates as A
+from tidemark.operators import quality_gate as Q
 from tidemark.operators import severity as S
 from tidemark.operators import vectors as V
 from tidemark.plans.adapters import orders_as_reviews, read
-from tidemark.plans.queries import DIST, R, query, vectors
+from tidemark.plans.queries import R, query
 from tidemark.sources import synthetic
 
 
-@query("SELECT role AS label, count(*) AS sentences, count(DISTINCT conv_id) AS reviews, round(count(*) * 100.0 / (SELECT count(*) FROM conversations), 1) AS share FROM conversations GROUP BY role")
-def a7_a8_label_breakdown(spark, sf):
-    c = read(spark, sf, "conversations")
-    total = c.agg(F.count("*").alias("all"))
-    return c.groupBy(F.col("role").alias("label")).agg(F.count("*").alias("sentences"), F.count_distinct("conv_id").alias("reviews")).crossJoin(F.broadcast(total)).select("label", "sentences", "reviews", F.round(F.col("sentences") * 100.0 / F.col("all"), 1).alias("share"))
-
-
 @query(R + "SELECT count(*) AS n, round(avg((sentiment = 'NEGATIVE')::INTEGER), 6) AS negative_fraction, round(avg(coalesce(rating, 4)), 4) AS baseline_rating FROM r")
 def a10_a41_baselines(spark, sf):
     return orders_as_reviews(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg((F.col("sentiment") == "NEGATIVE").cast("int")), 6).alias("negative_fraction"), F.round(F.avg(F.coalesce("rating", F.lit(4))), 4).alias("baseline_rating"))
 
 
-@query("SELECT i.intent, count(c.role) AS n FROM (VALUES ('user'), ('assistant'), ('system'), ('tool')) i(intent) LEFT JOIN conversations c ON c.role = i.intent GROUP BY i.intent")
-def a13_dense_counts(spark, sf):
-    counts = read(spark, sf, "conversations").groupBy(F.col("role").alias("intent")).agg(F.count("*").alias("n"))
-    return A.dense(counts, "intent", ["user", "assistant", "system", "tool"], spark, "string")
-
-
-@query("SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS answers, (count(*) FILTER (role = 'user') > 0)::INTEGER AS actionable FROM conversations GROUP BY conv_id")
-def a21_per_review_counts(spark, sf):
-    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("answers"))
-    return c.withColumn("actionable", (F.col("users") > 0).cast("int"))
-
-
 @query("SELECT lang, count(*) FILTER (quality = 0) AS low, count(*) FILTER (quality = 1) AS high, round(count(*) FILTER (quality = 1) * 100.0 / count(*), 2) AS pct FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def a34_stratified_check(spark, sf):
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id").groupBy("lang").pivot("quality", [0, 1]).agg(F.count(F.lit(1)))
@@ -66,33 +47,35 @@ def q5_truncation(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 4000).alias("cut"), (F.length("text") > 4000).alias("warned"))
 
 
-@query("SELECT event_id, least(greatest(round_even(value, 0), 1), 5)::INTEGER AS rating FROM events")
+@query("SELECT event_id, rating, (rating <> value)::INTEGER AS warnings FROM (SELECT event_id, value, least(greatest(round_even(value, 0), 1), 5)::INTEGER AS rating FROM events)")
 def q6_clamped_rating(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.least(F.greatest(F.bround("value"), F.lit(1.0)), F.lit(5.0)).cast("int").alias("rating"))
+    own = read(spark, sf, "events").withColumns({"rating": F.col("value"), "text": F.lit("")})
+    return Q.repaired(own, "text", "rating").select("event_id", "rating", "warnings")
 
 
-@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1996 OR year(o_orderdate) > 2000 THEN DATE '2000-01-01' ELSE o_orderdate::DATE END AS day FROM orders")
+@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1996 OR year(o_orderdate) > 1998 THEN DATE '1997-06-01' ELSE o_orderdate::DATE END AS day, (year(o_orderdate) < 1996 OR year(o_orderdate) > 1998)::INTEGER AS warnings FROM orders")
 def q7_sane_dates(spark, sf):
-    d = F.col("o_orderdate").cast("date")
-    return read(spark, sf, "orders").select("o_orderkey", F.when((F.year(d) < 1996) | (F.year(d) > 2000), F.lit("2000-01-01").cast("date")).otherwise(d).alias("day"))
+    own = Q.repaired(read(spark, sf, "orders").withColumn("text", F.lit("")), "text", None, "o_orderdate", oldest=1996, as_of=F.lit("1997-06-01").cast("timestamp"))
+    return own.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "warnings")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role NOT IN ('system', 'tool') AND length(text) > 15")
-def q17_noise_filter(spark, sf):
-    return read(spark, sf, "conversations").filter(~F.col("role").isin("system", "tool") & (F.length("text") > 15)).select("conv_id", "turn")
+@query("SELECT * FROM (VALUES ('review_text', 'text', 1.0::DOUBLE), ('channel', 'source', 1.0), (NULL, 'lang', NULL), (NULL, 'n_chars', NULL)) t(target, \"column\", confidence)")
+def p10_u5_mapping_report(spark, sf):
+    return Q.mapping_report(read(spark, sf, "documents"), "doc_id")
 
 
-@query()
+@query("SELECT count(*) AS total_rows, '0-100' AS rating_scale, 1.0::DOUBLE AS date_success_rate FROM orders")
+def p10_mapping_figures(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", F.lit("a text").alias("review"), (F.col("o_orderkey") % 100).cast("string").alias("score"), F.col("o_orderdate").alias("date"))
+    return Q.mapping_figures(o, "o_orderkey")
+
+
+@query("SELECT doc_id, 0::BIGINT AS violations FROM documents WHERE regexp_matches(text, '\\S')")
 def q12_span_check(spark, sf):
     s = read(spark, sf, "documents").select("doc_id", "text", F.explode(text.sentences(F.col("text"))).alias("s"))
     return s.groupBy("doc_id").agg(F.count_if(~text.span_holds(F.col("text"), F.col("s.text"), F.col("s.start"), F.col("s.end"))).alias("violations"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'licen') THEN 'LEGAL' WHEN regexp_matches(lower(text), '@') THEN 'CONTACT' ELSE 'OTHER' END AS reason FROM documents")
-def t25_reason_buckets(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.first_of(F.col("text"), {"LEGAL": "licen", "CONTACT": "@"}, "OTHER").alias("reason"))
-
-
 @query(R + """, a AS (SELECT theme, count(*) AS n FROM r WHERE batch = '1996-Q1' GROUP BY theme), b AS (SELECT theme, count(*) AS n FROM r WHERE batch = '1996-Q2' GROUP BY theme)
  SELECT theme, coalesce(a.n, 0) AS baseline, coalesce(b.n, 0) AS target FROM a FULL JOIN b USING (theme)""")
 def j6_u2_full_outer(spark, sf):
@@ -107,15 +90,6 @@ def j4_j5_defaulted_join(spark, sf):
     return d.select("doc_id", F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), F.lit("General")).alias("batch"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,15}')) AS w, CASE WHEN source = 'src0' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM documents),
- s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'and', 'with', 'this'))) * boost AS score FROM t) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
-def o11_ranked_overlap(spark, sf):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,15})"), F.lit(1)))
-    hits = F.size(F.array_intersect(words, F.array(*map(F.lit, ("the", "and", "with", "this")))))
-    d = read(spark, sf, "documents").select("doc_id", (hits * F.when(F.col("source") == "src0", 1.5).otherwise(1.0)).alias("score"))
-    return d.filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
-
-
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def f6_norms(spark, sf):
     return read(spark, sf, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
@@ -131,39 +105,6 @@ def f11_f12_joined_lists(spark, sf):
     return read(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query(DIST + """, s AS (SELECT label, count(*) AS size, list(vec_id ORDER BY r) AS ids FROM k GROUP BY label), t AS (SELECT *, (SELECT sum(size) FROM s) AS total FROM s)
- SELECT label, size, ids[1] AS medoid, array_to_string(list_slice(ids, 1, 3), ',') AS verbatims, CASE WHEN size / total >= 0.2 AND size >= 3 THEN 'CRITICAL' WHEN size / total >= 0.14 AND size >= 2 THEN 'HIGH' WHEN size / total >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM t""")
-def c7_clusters(spark, sf):
-    rows, centers = vectors(spark, sf)
-    best = V.representatives(rows, centers, "label", "embedding", "vec_id", 3).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-    size = rows.groupBy("label").agg(F.count("*").alias("size"))
-    both = size.join(best, "label").crossJoin(F.broadcast(size.agg(F.sum("size").alias("total"))))
-    return both.select("label", "size", F.get("ids", F.lit(0)).alias("medoid"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("verbatims"), S.complaint_severity(F.col("size"), F.col("total")).alias("severity"))
-
-
-@query(R + """, b AS (SELECT DISTINCT batch FROM r ORDER BY batch DESC LIMIT 4), t AS (SELECT theme, count(*) AS size FROM r GROUP BY theme ORDER BY size DESC, theme LIMIT 6),
- c AS (SELECT batch, theme, count(*) AS n FROM r WHERE sentiment = 'NEGATIVE' GROUP BY ALL) SELECT b.batch, t.theme, coalesce(c.n, 0) AS n FROM b CROSS JOIN t LEFT JOIN c ON c.batch = b.batch AND c.theme = t.theme""")
-def d20_o9_drift_series(spark, sf):
-    r = orders_as_reviews(spark, sf)
-    last = r.select("batch").distinct().orderBy(F.desc("batch")).limit(4)
-    top = r.groupBy("theme").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "theme").limit(6).select("theme")
-    bad = r.filter("sentiment = 'NEGATIVE'").groupBy("batch", "theme").agg(F.count("*").alias("n"))
-    return last.crossJoin(F.broadcast(top)).join(bad, ["batch", "theme"], "left").select("batch", "theme", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query(R + ", t AS (SELECT batch, count(*) AS n FROM r GROUP BY batch) SELECT batch, n, false AS is_simulated FROM t UNION ALL SELECT 'SIMULATED', 999, true")
-def d21_injected_anomaly(spark, sf):
-    t = orders_as_reviews(spark, sf).groupBy("batch").agg(F.count("*").alias("n")).withColumn("is_simulated", F.lit(False))
-    return t.unionByName(spark.createDataFrame([("SIMULATED", 999, True)], "batch string, n long, is_simulated boolean"))
-
-
-@query("WITH g AS (SELECT doc_id, (length(text) >= 300)::INTEGER AS a, (lang = 'en')::INTEGER AS b, quality AS t FROM documents JOIN labels USING (doc_id)) SELECT round(avg((a = t)::INTEGER), 4) AS accuracy_a, round(avg((b = t)::INTEGER), 4) AS accuracy_b, count(*) FILTER (a <> b) AS disagree, round(count(*) FILTER (a <> b) * 100.0 / count(*), 2) AS rate FROM g")
-def d22_j15_model_comparison(spark, sf):
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
-    a, b, t = (F.length("text") >= 300).cast("int"), (F.col("lang") == "en").cast("int"), F.col("quality")
-    return d.agg(F.round(F.avg((a == t).cast("int")), 4).alias("accuracy_a"), F.round(F.avg((b == t).cast("int")), 4).alias("accuracy_b"), F.count_if(a != b).alias("disagree"), F.round(F.count_if(a != b) * 100.0 / F.count("*"), 2).alias("rate"))
-
-
 @query("SELECT source, doc_id, round(n_chars / sum(n_chars) OVER (PARTITION BY source), 9) AS share FROM documents")
 def v9_v10_shares(spark, sf):
     return read(spark, sf, "documents").select("source", "doc_id", F.round(F.col("n_chars") / F.sum("n_chars").over(W.partitionBy("source")), 9).alias("share"))

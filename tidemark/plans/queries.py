@@ -51,12 +51,6 @@ def a1_sentiment_summary(spark, sf):
     return A.sentiment_summary(orders_as_reviews(spark, sf))
 
 
-@query("WITH d AS (SELECT regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS hit FROM documents) SELECT count(*) AS total, count(*) FILTER (hit) AS with_email, round(count(*) FILTER (hit) * 100.0 / count(*), 1) AS rate FROM d")
-def a2_email_rate(spark, sf):
-    d = read(spark, sf, "documents").select(F.col("text").rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}").alias("hit"))
-    return d.agg(F.count("*").alias("total"), F.count_if("hit").alias("with_email"), F.round(F.count_if("hit") * 100.0 / F.count("*"), 1).alias("rate"))
-
-
 @query(R + f"SELECT s.star::INTEGER AS star, count(r.rating) AS n, {pct('count(r.rating)', '(SELECT count(*) FROM r)')} AS percent FROM generate_series(1, 5) s(star) LEFT JOIN r ON r.rating = s.star GROUP BY s.star")
 def a3_rating_distribution(spark, sf):
     return A.rating_distribution(orders_as_reviews(spark, sf))
@@ -118,15 +112,9 @@ def a18_verdict(spark, sf):
     return A.verdict(A.cohort_stats(orders_as_reviews(spark, sf), F.expr(SIDE)))
 
 
-@query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,15}')) AS word FROM documents WHERE lang = 'en') SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 60")
+@query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,15}')) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 60")
 def a19_word_counts(spark, sf):
-    return A.word_counts(read(spark, sf, "documents").filter("lang = 'en'"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,15})"), F.lit(1)), [])
-
-
-@query(R + """SELECT count(*) AS total, round((count(*) FILTER (sentiment = 'POSITIVE') - count(*) FILTER (sentiment = 'NEGATIVE')) * 100.0 / count(*), 1) AS net_sentiment, round(count(*) FILTER (sentiment = 'NEGATIVE') * 100.0 / count(*), 2) AS defect_pct,
- count(*) FILTER (sentiment = 'NEGATIVE' AND rating >= 4) AS hidden_defects, round(count(*) FILTER (sentiment <> 'NEUTRAL') * 100.0 / count(*), 2) AS actionable_pct, 0.0::DOUBLE AS redacted_pct, count(*) FILTER (sentiment = 'NEGATIVE' AND rating <= 2) AS severe FROM r""")
-def a20_a24_kpis(spark, sf):
-    return A.kpis(orders_as_reviews(spark, sf))
+    return A.word_counts(read(spark, sf, "documents"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,15})"), F.lit(1)), [])
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most FROM events GROUP BY event_type")
@@ -161,22 +149,74 @@ def d1_d3_drift_timeline(spark, sf):
     return D.timeline(orders_as_reviews(spark, sf))
 
 
+def log_choose(n: str, k: str) -> str:
+    return f"lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - ({k}) + 1.0)"
+
+
+def fisher_sql(cells: str, a: str, b: str, c: str, d: str) -> str:
+    """From rows of cells, with a..d as the table's cells: z AS cells with p and p2, of Fisher's exact test."""
+    row, col, rest = f"({a} + {b})", f"({a} + {c})", f"({c} + {d})"
+    of = lambda x: f"{log_choose(row, x)} + {log_choose(rest, f'({col} - {x})')} - ({log_choose(f'({row} + {rest})', col)})"
+    return f"""fa AS (SELECT *, row_number() OVER () AS fid FROM {cells}), fx AS (SELECT *, {of(a)} AS fm, unnest(range(greatest(0, {col} - {rest}), least({row}, {col}) + 1)) AS x FROM fa), fp AS (SELECT *, {of('x')} AS lp FROM fx),
+ fs AS (SELECT fid, least(1, sum(exp(lp)) FILTER (x >= {a})) AS p, least(1, sum(exp(lp)) FILTER (lp <= fm + 1e-7)) AS p2 FROM fp GROUP BY fid), z AS (SELECT fa.*, p, p2 FROM fa JOIN fs USING (fid))"""
+
+
+def attribution_sql(theme: str) -> str:
+    """From p as PAIRS has it, a table att of attributions."""
+    return f"""pc AS (SELECT batch, {theme}, kt::BIGINT AS kt, kb::BIGINT AS kb, nt::BIGINT AS nt, nb::BIGINT AS nb FROM p WHERE previous IS NOT NULL), {fisher_sql('pc', 'kt', '(nt - kt)', 'kb', '(nb - kb)')},
+ att AS (SELECT batch, {theme}, kt AS target_count, kb AS baseline_count, round(kt / nt * 100, 2) AS target_rate_pct, round(kb / nb * 100, 2) AS baseline_rate_pct, round((kt / nt - kb / nb) * 100, 2) AS rate_delta_pp, round(((kt + 0.5) / (nt + 0.5)) / ((kb + 0.5) / (nb + 0.5)), 2) AS relative_risk, round(p, 5) AS p_value, round(p2, 5) AS p_value_two_sided,
+ p < 0.05 AND kt >= 3 AND kt / nt > kb / nb AS significant, CASE WHEN p < 0.001 THEN 'p < 0.001' WHEN p < 0.05 THEN 'p < 0.05' ELSE 'n.s.' END AS tier FROM z)"""
+
+
+BRANDS = R.replace("WITH r AS", "WITH r0 AS") + ", r AS (SELECT substr(batch, 1, 4) AS batch, brand FROM r0)" + PAIRS.replace("theme", "brand") + ", " + attribution_sql("brand")
+
+
 def brands(spark, sf):
     return D.distributions(orders_as_reviews(spark, sf).withColumn("batch", F.substring("batch", 1, 4)), "batch", "brand")
 
 
-@query()
+@query(BRANDS + " SELECT * FROM att")
 def d5_d7_attribution(spark, sf):
     return D.attribution(brands(spark, sf), "batch", "brand")
 
 
-@query()
-def d4_alerts(spark, sf):
+# every second quarter a share of the lines moves to one theme, so that there is drift to be seen
+MOVED = R.replace("WITH r AS", "WITH r0 AS") + ", r AS (SELECT batch, CASE WHEN right(batch, 1) = '2' AND l_orderkey % 3 = 0 THEN 'Surge' ELSE brand END AS theme, sentiment FROM r0)"
+
+
+def moved_reviews(spark, sf):
     r = orders_as_reviews(spark, sf)
-    return D.alerts(D.timeline(r), D.attribution(D.distributions(r)))
+    return r.select("batch", F.when((F.right("batch", F.lit(1)) == "2") & (F.col("l_orderkey") % 3 == 0), "Surge").otherwise(F.col("brand")).alias("theme"), "sentiment")
 
 
-@query()
+@query(MOVED + LINE + ", " + attribution_sql("theme") + """, dr AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY rate_delta_pp DESC, p_value, theme) AS k FROM att), dl AS (SELECT batch, list(theme ORDER BY k) AS drivers FROM dr WHERE k <= 3 GROUP BY batch)
+ SELECT batch, psi, CASE WHEN status = 'CRITICAL_DRIFT' THEN 'CRITICAL' ELSE 'WARNING' END AS level, drivers[1] AS top_driver, array_to_string(drivers, ',') AS drivers FROM line LEFT JOIN dl USING (batch) WHERE status IN ('CRITICAL_DRIFT', 'MODERATE_DRIFT')""")
+def d4_o4_alerts(spark, sf):
+    r = moved_reviews(spark, sf)
+    return D.alerts(D.timeline(r), D.attribution(D.distributions(r))).withColumn("drivers", F.array_join("drivers", ","))
+
+
+@query(MOVED + LINE + ", " + attribution_sql("theme") + """, b AS (SELECT batch, first(theme ORDER BY rate_delta_pp DESC, theme) AS t, max(rate_delta_pp) AS d FROM att GROUP BY batch)
+ SELECT batch AS Batch_or_Version, review_count AS Total_Reviews, negative_count AS Negative_Count, positive_count AS Positive_Count, neutral_count AS Neutral_Count, negative_rate AS Negative_Rate_Pct, psi AS PSI_Score, status AS Drift_Status, t AS Primary_Surging_Theme, coalesce(d, 0) AS Surging_Delta_Pct FROM line LEFT JOIN b USING (batch)""")
+def k4_drift_rows(spark, sf):
+    r = moved_reviews(spark, sf)
+    return D.drift_rows(D.timeline(r), D.attribution(D.distributions(r)))
+
+
+@query(MOVED + LINE + " SELECT batch, psi FROM line WHERE psi > 0.25")
+def v11_psi_band(spark, sf):
+    return D.psi_band(D.timeline(moved_reviews(spark, sf)), strict=True).select("batch", "psi")
+
+
+@query(R.replace("WITH r AS", "WITH r0 AS") + ", r AS (SELECT CASE right(batch, 2) WHEN 'Q3' THEN '000000|Q3' WHEN 'Q1' THEN '000001|Q1' WHEN 'Q4' THEN '000002|Q4' END AS batch, brand AS theme, sentiment FROM r0 WHERE right(batch, 2) <> 'Q2')" + PAIRS + " SELECT batch, any_value(previous) AS previous, round(greatest(0, sum((kt / nt - kb / nb) * ln((kt / nt + 1e-4) / (kb / nb + 1e-4)))), 6) AS psi FROM p WHERE previous IS NOT NULL GROUP BY batch")
+def d2_explicit_order(spark, sf):
+    r = orders_as_reviews(spark, sf).select(F.right("batch", F.lit(2)).alias("batch"), F.col("brand").alias("theme"))
+    own = D.pairs(D.explicit_order(D.distributions(r), ["Q3", "Q1", "Q4"])).filter("previous is not null")
+    return own.groupBy("batch").agg(F.first("previous").alias("previous"), F.round(D.psi(F.col("kt"), F.col("nt"), F.col("kb"), F.col("nb")), 6).alias("psi"))
+
+
+@query(R + """, c AS (SELECT brand, coalesce(channel, 'General') AS channel, count(*) AS k FROM r GROUP BY ALL), w AS (SELECT *, sum(k) OVER (PARTITION BY brand)::BIGINT AS n, sum(k) OVER (PARTITION BY channel)::BIGINT AS b, sum(k) OVER ()::BIGINT AS t, row_number() OVER (PARTITION BY brand ORDER BY k DESC, channel) AS turn FROM c), f AS (SELECT * FROM w WHERE turn = 1), """ + fisher_sql("f", "k", "(n - k)", "(b - k)", "(t - n - (b - k))") + """,
+ y AS (SELECT *, (k / n) / greatest((b - k) / greatest(t - n, 1), 1e-4) AS risk FROM z) SELECT brand, CASE WHEN n < 3 THEN 'Omnichannel' ELSE channel END AS batch, n, CASE WHEN p < 0.05 AND n >= 3 AND risk >= 1.5 THEN round(risk, 2) ELSE 1.0 END AS relative_risk, p < 0.05 AND n >= 3 AND risk >= 1.5 AS significant FROM y""")
 def d6_relative_risk(spark, sf):
     return D.relative_risk(orders_as_reviews(spark, sf), "brand", "channel")
 
@@ -218,17 +258,25 @@ def q1_empty_texts(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), F.when((s == "") | s.isin(*Q.L.SENTINELS), "EMPTY_TEXT").alias("empty_code"))
 
 
-@query()
+STRIPPED = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+GATE = f"""WITH a AS (SELECT doc_id, text, lower({STRIPPED}) AS s FROM documents), b AS (SELECT *, CASE WHEN s = '' OR s IN ({", ".join(map(repr, Q.L.SENTINELS))}) THEN 'EMPTY_TEXT' WHEN length(s) >= 8 AND list_max(map_values(list_histogram(string_split(s, '')))) / length(s) >= 0.75 THEN 'REPETITIVE_CHARACTER_SPAM'
+ WHEN length(trim(regexp_replace(s, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'))) < 6 OR s IN ({", ".join(map(repr, Q.L.FILLERS))}) THEN 'DEGENERATE_SHORT_TEXT' END AS code FROM a),
+ g AS (SELECT doc_id, coalesce(code, CASE WHEN row_number() OVER (PARTITION BY regexp_replace(s, '\\s+', ' ', 'g'), code IS NULL ORDER BY doc_id) > 1 THEN 'DUPLICATE_TEXT' END) AS rejection_code, coalesce(length(text) > 4000, false) AS truncated FROM b)"""
+
+
+@query(GATE + " SELECT * FROM g")
 def q8_quality_gate(spark, sf):
     return Q.gate(read(spark, sf, "documents"), "text", "doc_id").select("doc_id", "rejection_code", "truncated")
 
 
-@query()
+@query(GATE + """, m AS (SELECT count(*) AS total, count(*) FILTER (rejection_code IS NULL) AS passed, count(rejection_code) AS quarantined, count(*) FILTER (rejection_code = 'DUPLICATE_TEXT') AS duplicates, count(*) FILTER (rejection_code IS NULL AND truncated) AS warnings FROM g)
+ SELECT *, round(greatest(0, least(100, 100 * (1 - (0.5::DOUBLE * quarantined / total + 0.3::DOUBLE * duplicates / total + 0.2::DOUBLE * warnings / total)))), 2) AS quality_score FROM m""")
 def q9_gate_manifest(spark, sf):
     return Q.manifest(Q.gate(read(spark, sf, "documents"), "text", "doc_id"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT {STRIPPED} AS t, CASE WHEN toxic = 1 THEN 'NEGATIVE' WHEN quality = 1 THEN 'POSITIVE' WHEN quality IS NOT NULL THEN 'NEUTRAL' END AS sentiment FROM documents LEFT JOIN labels USING (doc_id))
+ SELECT 'blank_text' AS "check", 'ERROR' AS level, count(*) FILTER (t = '') AS n_affected FROM t UNION ALL SELECT 'short_text', 'WARNING', count(*) FILTER (t <> '' AND length(t) < 5) FROM t UNION ALL SELECT 'unknown_label', 'WARNING', count(*) FILTER (sentiment IS NULL) FROM t UNION ALL SELECT 'duplicate_text', 'WARNING', count(*) - count(DISTINCT lower(t)) FROM t WHERE t <> ''""")
 def q10_validation(spark, sf):
     return Q.validation(labelled_documents(spark, sf), "text", label="sentiment", short=5)
 
@@ -248,7 +296,13 @@ def t1_t8_redaction(spark, sf):
     return pii.redact(read(spark, sf, "documents").select("doc_id", "text"), "text").withColumn("entities", F.array_join("entities", ","))
 
 
-@query()
+#: A sentence ends at white space after an end mark, but not after an initialism or an abbreviation of two letters.
+SENTENCES = """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''), w AS (SELECT *, lag(c, 1) OVER d AS c1, lag(c, 2) OVER d AS c2, lag(c, 3) OVER d AS c3, lag(c, 4) OVER d AS c4 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ b AS (SELECT doc_id, i, c, regexp_matches(c, '\\s') AS blank, coalesce(regexp_matches(c, '\\s') AND c1 IN ('.', '?', '!') AND NOT coalesce(regexp_matches(c4, '\\w') AND c3 = '.' AND regexp_matches(c2, '\\w'), false) AND NOT coalesce(regexp_matches(c3, '[A-Z]') AND regexp_matches(c2, '[a-z]') AND c1 = '.', false), false) AS ends FROM w),
+ n AS (SELECT *, sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM b), p AS (SELECT doc_id, part, min(i) - 1 AS a, max(i) AS z FROM n WHERE NOT blank GROUP BY ALL), t AS (SELECT doc_id, part, substr(text, a + 1, z - a) AS text, a::INTEGER AS start, z::INTEGER AS "end" FROM p JOIN documents USING (doc_id))"""
+
+
+@query(SENTENCES + """, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i FROM t WHERE len(regexp_split_to_array(text, '\\s+')) >= 3) SELECT doc_id || '::S' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS sentence_id, text, start, "end" FROM k""")
 def t10_sentences(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"), 3)).alias("i", "s")).select(F.format_string("%d::S%03d", "doc_id", "i").alias("sentence_id"), "s.*")
 
@@ -269,11 +323,6 @@ def t24_snippets(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), 175, 180).alias("snippet"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS words FROM documents")
-def p13_word_count(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^ \t\n\r\f]+")).cast("long").alias("words"))
-
-
 @query("SELECT o_orderkey, year(o_orderdate)::VARCHAR || '-Q' || quarter(o_orderdate)::VARCHAR AS cohort, CASE WHEN substr(o_orderpriority, 1, 1)::INTEGER <= 2 THEN 'NEGATIVE' WHEN substr(o_orderpriority, 1, 1)::INTEGER = 3 THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label FROM orders")
 def p11_p12_labels(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", Q.quarter_label(F.col("o_orderdate")).alias("cohort"), Q.weak_label(F.substring("o_orderpriority", 1, 1).cast("int")).alias("label"))
@@ -290,9 +339,10 @@ def p9_review_id(spark, sf):
     return read(spark, sf, "documents").select("doc_id", Q.review_id(F.col("text"), F.lit("static_ts"), F.col("doc_id")).alias("review_id"))
 
 
-@query()
+@query(f"""SELECT 'REV-U-' || upper(substr(sha256(concat_ws('_', {STRIPPED}, 'static_ts', doc_id)), 1, 12)) AS review_id, {STRIPPED} AS review_text, 3 AS rating, 'Custom Product' AS product_name, 'General' AS sku_or_module, 'Batch-Custom' AS batch_or_version, coalesce(nullif(trim(source), ''), 'Client Upload') AS channel, '2024-01-01T00:00:00' AS created_at,
+ '{{' || array_to_string(list_filter(['"lang":"' || lang || '"', '"n_chars":"' || n_chars || '"'], lambda x: x IS NOT NULL), ',') || '}}' AS extra_metadata, doc_id AS row_index FROM documents""")
 def p1_p10_normalize(spark, sf):
-    return Q.normalize(read(spark, sf, "documents"), "doc_id").withColumn("extra_metadata", F.to_json("extra_metadata"))
+    return Q.normalize(read(spark, sf, "documents"), "doc_id", "2024-01-01T00:00:00").withColumn("extra_metadata", F.to_json("extra_metadata"))
 
 
 @query("""WITH t AS (SELECT p_brand, p_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k = 1),
@@ -345,12 +395,6 @@ def o7_page(spark, sf):
     return A.page(read(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], 3, 20)
 
 
-@query("SELECT lang, source FROM documents UNION SELECT lang, source FROM documents")
-def u1_union(spark, sf):
-    d = read(spark, sf, "documents").select("lang", "source")
-    return d.unionByName(d).distinct()
-
-
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def u3_intersect(spark, sf):
     return read(spark, sf, "documents").select("doc_id").intersect(read(spark, sf, "labels").select("doc_id"))
@@ -385,7 +429,7 @@ def c17_strata(spark, sf):
     return V.strata(*vectors(spark, sf), "label", "embedding", "vec_id")
 
 
-@query()
+@query(f"WITH {CENTERS}, d AS (SELECT vec_id, m.label, round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) DESC, m.label) AS k FROM embeddings e, m) SELECT vec_id, label, similarity FROM d WHERE k = 1")
 def c13_nearest_centroid(spark, sf):
     return V.nearest(*vectors(spark, sf), "label", "embedding", "vec_id")
 
@@ -401,21 +445,21 @@ def c1_k_means(spark, sf):
     return V.k_means(read(spark, sf, "embeddings"), "embedding", 6)[0].groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-TERMS = "w AS (SELECT source, regexp_extract_all(lower(text), '[a-z]{3,15}') AS t FROM documents WHERE lang = 'en'), g AS (SELECT source, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))])) AS term FROM w), a AS (SELECT source, term, count(*) AS tf FROM g GROUP BY ALL), x AS (SELECT term FROM a GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 3000), n AS (SELECT a.* FROM a JOIN x USING (term))"
+TERMS = "w AS (SELECT source, regexp_extract_all(lower(text), '[a-z]{3,15}') AS t FROM documents), g AS (SELECT source, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))])) AS term FROM w), a AS (SELECT source, term, count(*) AS tf FROM g GROUP BY ALL), x AS (SELECT term FROM a GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 3000), n AS (SELECT a.* FROM a JOIN x USING (term))"
 
 
-def english_terms(spark, sf):
-    return K.term_counts(read(spark, sf, "documents").filter("lang = 'en'"), "source", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,15})"), F.lit(1)), [])
+def terms(spark, sf):
+    return K.term_counts(read(spark, sf, "documents"), "source", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,15})"), F.lit(1)), [])
 
 
 @query(f"WITH {TERMS}, f AS (SELECT term, count(*) AS f FROM n GROUP BY term), v AS (SELECT source, term, (1 + ln(tf)) * ln(1 + (SELECT avg(f) FROM f) / f) AS weight FROM n JOIN f USING (term)), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, term) AS rank FROM v) SELECT source, rank::INTEGER AS rank, term, round(weight, 6) AS weight FROM k WHERE rank <= 8")
 def x1_class_tfidf(spark, sf):
-    return K.top_terms(K.class_tfidf(english_terms(spark, sf), "source"), "source")
+    return K.top_terms(K.class_tfidf(terms(spark, sf), "source"), "source")
 
 
 @query(f"WITH {TERMS}, f AS (SELECT term, count(*) AS df FROM n GROUP BY term), c AS (SELECT count(DISTINCT source) AS n FROM n), u AS (SELECT source, term, tf * (ln((1 + c.n) / (1 + df)) + 1) AS w FROM n JOIN f USING (term), c), v AS (SELECT source, term, w / sqrt(sum(w * w) OVER (PARTITION BY source)) AS weight FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, term) AS rank FROM v) SELECT source, rank::INTEGER AS rank, term, round(weight, 6) AS weight FROM k WHERE rank <= 5")
 def x2_tfidf(spark, sf):
-    return K.top_terms(K.tfidf(english_terms(spark, sf), "source"), "source", 5)
+    return K.top_terms(K.tfidf(terms(spark, sf), "source"), "source", 5)
 
 
 GUESS = "g AS (SELECT doc_id, quality AS t, CASE WHEN length(text) >= 300 THEN 1 ELSE 0 END AS g, least(0.99, length(text) / 4000) AS p FROM documents JOIN labels USING (doc_id))"
