@@ -86,9 +86,11 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     named = {"__source": F.coalesce(F.col(source_col), F.lit("")), "__lang": F.coalesce(F.col(lang_col), F.lit("")), "__topic": topic_of(F.coalesce(text, F.lit("")))}
     n_tokens = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     cells = docs.select(named["__source"].alias("source"), named["__lang"].alias("lang"), named["__topic"].alias("topic"), n_tokens.alias("n")).groupBy(*DIMS).agg(F.sum("n").alias("tokens"))
-    raked = rake(scratch.save(cells, "counts"), scratch, targets or {}, heat=heat)
+    counts = scratch.save(cells, "counts")
+    raked = rake(counts, scratch, targets or {}, heat=heat)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     rates = scratch.save(raked.select(*(F.col(d).alias(f"__{d}") for d in DIMS), factor.alias("factor")), "factors")
+    scratch.drop(*(x for x, _ in list(scratch.paths.values()) if x is not rates))
     top = rates.agg(F.max("factor")).first()[0] or 1.0
     rates = rates.select(*(f"__{d}" for d in DIMS), F.round(F.col("factor") / F.lit(top), 9).alias("__rate"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

@@ -1,7 +1,7 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
 1. Each document's distinct word shingles give a MinHash signature of k coordinates, and a digest of the whole set.
-   Documents of equal digests are one class; only one member stands for it from here on.
+   Documents of equal digests (128 bits) are one class; only one member stands for it from here on.
 2. Every (coordinate, value) pair has a posting list. A link of the wished likeness agrees in at least m of k coordinates
    (for the defaults, one in 10^5 links of exactly 0.75 doesn't, and none of 0.85 or more in 10^11). So a class with fewer
    than m values that any other class has is done. The others order their values from the rarest list to the most
@@ -54,6 +54,10 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(mixed(acc))
 
 
+def set_digest(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signer(k: int, seed: int = 7):
     odd = np.random.default_rng(seed).integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,21 +72,21 @@ def signer(k: int, seed: int = 7):
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, digest: bool = False) -> DataFrame:
-    """(id, n_shingles, cls, sig) and with digest text_hash: cls is a digest of the shingle set, null for an empty one."""
+    """(id, n_shingles, own, sig) and with digest text_hash: own is the digest of the shingle set, null for an empty one."""
     more = [F.xxhash64(text_col).alias("text_hash")] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signer(k)
         for batch in batches:
-            n, cls, sig = [], [], []
+            n, own, sig = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width)
                 n.append(len(s))
-                cls.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                own.append(set_digest(s))
                 sig.append(sign(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=["id", "n_shingles", "cls", "sig", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.binary()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=["id", "n_shingles", "own", "sig", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), *more).mapInArrow(run, "id long, n_shingles long, cls long, sig binary" + ", text_hash long" * digest)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), *more).mapInArrow(run, "id long, n_shingles long, own binary, sig binary" + ", text_hash long" * digest)
 
 
 def coordinates(classes: DataFrame, k: int) -> DataFrame:
@@ -208,15 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.save(sign_documents(docs, id_col, text_col, width, k, digest), "signed")
-    groups = signed.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = scratch.save(groups, "classes")
+    groups = signed.filter("own is not null").groupBy("own").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = scratch.save(groups.withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbers that the written table fixes
     lists = scratch.save(prefixes(coordinates(classes, k), m), "lists")
     met = scratch.save(lists.select("cls").distinct(), "met")
 
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    home = classes.join(met, "cls").select("cls", F.col("least").alias("id"))
+    home = classes.join(met, "cls").select("own", "cls", F.col("least").alias("id"))
     again = wanted.join(home.select("id").distinct(), "id", "left_semi")
-    texts = scratch.save(classed(again, width).join(met, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")), "texts")
+    texts = scratch.save(classed(again, width).join(home.select("own", "cls"), "own").groupBy("cls").agg(F.first("text").alias("text")), "texts")
 
     links, labels = None, classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
     for salt in range(rounds):
@@ -230,8 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = own.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).filter("size > 1")
-    grouped = scratch.save(own.join(least, "comp").select("cls", "component_id"), "grouped")
-    out = signed.drop("sig").join(grouped, "cls", "left")
+    grouped = scratch.save(own.join(least, "comp").select("own", "component_id"), "grouped")
+    out = signed.drop("sig").join(grouped, "own", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *(["text_hash"] if digest else []))
     scratch.drop(*(x for x, _ in list(scratch.paths.values()) if x is not signed and x is not grouped))
@@ -239,12 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def classed(docs: DataFrame, width: int) -> DataFrame:
-    """(cls, text) of documents (id, text)."""
+    """(own, text) of documents (id, text): the digest of the shingle set of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(0)]
-            cls = [int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column(0)], names=["cls", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(shingles(t.as_py(), width)) for t in batch.column(0)], pa.binary()), batch.column(0)], names=["own", "text"])
 
-    return docs.select("text").mapInArrow(run, "cls long, text binary")
+    return docs.select("text").mapInArrow(run, "own binary, text binary")

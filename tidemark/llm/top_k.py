@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Ranges, Scratch
 
-ROWS, QUERIES, STEEP, SLACK = 2048, 256, 0.35, 1e-9  # rows of a block; the cosine from which coordinates prune; against rounding
+ROWS, QUERIES, STEEP, SLACK = 2048, 2048, 0.35, 1e-9  # rows of a block; the cosine from which coordinates prune; against rounding
 FOUND = "query_id long, twin long, vec_id long, score long"
 
 
@@ -92,10 +92,8 @@ def searched(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -
 
 def blocked(scratch: Scratch, vectors: DataFrame, rows: int) -> DataFrame:
     """vectors with block: the dimension, the range of lengths and, where a range holds more rows than a block, a share of it."""
-    n = max(1, -(-vectors.count() // rows))
-    edges = vectors.agg(F.percentile_approx("norm", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    range_of = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("norm"))) if edges else F.lit(0)
-    ranged = vectors.withColumns({"dim": F.size("v"), "range": range_of})
+    squared = vectors.withColumn("square", F.least(F.round(F.col("norm") * F.col("norm")), F.lit(9e18)).cast("long"))
+    ranged = Ranges(scratch, squared, "square", rows).add(squared, "range").withColumn("dim", F.size("v")).drop("square")
     full = ranged.groupBy("dim", "range").agg(F.ceil(F.count("*") / rows).alias("shares"))
     dealt = ranged.join(full, ["dim", "range"])
     share = F.pmod(F.xxhash64("id", "twin"), F.col("shares"))
@@ -131,5 +129,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     floor = told.groupBy("dim", "part").agg(F.max("norm").alias("reach"), F.min(F.coalesce("least", F.lit(-(1 << 62)))).alias("floor"))
     rest = blocks.filter("turn > 1").join(floor, "dim").filter(F.col("reach") * F.col("longest") * (1 + SLACK) >= F.col("floor"))
     found = begun.union(searched(own, told, scratch.save(rest.select("block", "part"), "pairs"), k))
+    scratch.drop(asked, blocks)
     rank = F.row_number().over(W.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
