@@ -76,3 +76,46 @@ def test_likeness_of_very_many_sentences(spark):
     pairs = spark.createDataFrame([(i, j, lanes[i], lanes[j]) for i, j in ((0, 1), (0, 2), (3, 4), (3, 5))], "i int, j int, a array<long>, b array<long>")
     got = {(r.i, r.j): r.l for r in pairs.select("i", "j", likeness(F.col("a"), F.col("b")).alias("l")).collect()}
     assert got[0, 1] < 0.4 and 0.5 < got[0, 2] < 0.9 and got[3, 4] < 0.4 and got[3, 5] > 0.99
+
+
+def second_lanes(text):
+    """The lanes of a text by the library of the hash, paragraph by paragraph."""
+    import re
+    from struct import pack
+
+    from xxhash import xxh64_intdigest
+
+    seeded = lambda i, x: xxh64_intdigest(x.encode(), xxh64_intdigest(pack("<i", i), 42))
+    lanes = [0] * 137
+    for p in text.split("\n"):
+        for i in range(8):
+            lanes[i] += seeded(i, p)
+    for x in re.split(r"\n|(?<=[.!?]) ", text):
+        lanes[8] += 1
+        for i in range(2):
+            h = seeded(100 + i, x)
+            for k in range(32):
+                for s, by in enumerate((0, 32)):
+                    lanes[9 + 64 * i + 2 * k + s] += h >> (k + by) & 1
+    return [x & 0xFFFFFFFF for x in lanes]
+
+
+def second_likeness(a, b):
+    if a == b:
+        return 1.0
+    u, v = ([2 * x - lanes[8] for x in lanes[9:]] for lanes in (a, b))
+    over = (sum(x * x for x in u) * sum(x * x for x in v)) ** 0.5
+    return max(0.0, min(1.0, sum(x * y for x, y in zip(u, v, strict=True)) / over)) if over else 0.0
+
+
+def test_fingerprints_and_likenesses_by_a_second_version(spark):
+    rng = random.Random(6)
+    rows = [(3 * i, text(rng, rng.randint(0, 12))) for i in range(40)] + [(400, ""), (401, None), (402, "é. ü! 🙂? x\n\ny"), (403, "a. b. c.")]
+    for r in run(spark, rows, rows=9):
+        place = next(i for i, (d, _) in enumerate(rows) if d == r.doc_id)
+        own, after = rows[place][1] or "", rows[(place + 1) % len(rows)][1] or ""
+        half = len(own) // 2
+        a, e, n = map(second_lanes, (own, own[: len(own) - half] + after[:half], after))
+        hexed = lambda lanes: "".join(f"{x:08X}" for x in lanes)
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(a), hexed(e))
+        assert abs(r.near_edited - second_likeness(a, e)) < 1e-9 and abs(r.near_next - second_likeness(a, n)) < 1e-9

@@ -51,3 +51,21 @@ def test_columns_rates_and_empty_table(spark):
 def test_values_without_weight_are_never_sampled(spark):
     rows = mix(docs(spark), {"lang": {"en": 1}}).collect()
     assert not any(r.sampled for r in rows if r.lang != "en") and any(r.sampled for r in rows)
+
+
+def test_sampled_tokens_follow_the_targets(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(5, 40))), rng.choice("aaaab"), rng.choice(("en", "de"))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mix(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.75, "de": 0.25}}).filter("sampled").groupBy("source", "lang").agg({"n_tokens": "sum"}).collect()
+    total = sum(r[2] for r in got)
+    assert abs(sum(r[2] for r in got if r.source == "a") / total - 0.5) < 0.04 and abs(sum(r[2] for r in got if r.lang == "en") / total - 0.75) < 0.04
+    own = mix(docs.withColumn("area", docs.lang), {"topic": {"en": 1.0}}, topic_col="area")
+    assert own.filter("sampled and topic != 'en'").isEmpty() and not own.filter("sampled").isEmpty()
+
+
+def test_one_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, "a", "en"), (2, "x" * 3_000_000, "b", "en"), (3, "", "b", "en")], "doc_id long, text string, source string, lang string")
+    assert {r.doc_id: r.n_tokens for r in mix(docs).collect()} == {1: 400_000, 2: 1, 3: 0}

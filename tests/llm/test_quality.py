@@ -48,3 +48,18 @@ def test_odd_rows(spark):
 def test_features_of_blocks():
     text = "ab cd " * 300_000
     assert abs(len(features(text)) / 300_000 - len(features("ab cd " * 300)) / 300) < 0.1
+
+
+def test_held_out_accuracy_on_the_test_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = classify(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").filter("held_out").collect()
+    good, poor = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert len(got) > 60 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    assert sum(a > b for a in good for b in poor) >= 0.97 * len(good) * len(poor)
+
+
+def test_an_id_that_repeats_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i} the an") for i in range(300)] + [(2, "x z q")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, quality int")
+    assert classify(docs, labels, held=9).count() == 301

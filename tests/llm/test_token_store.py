@@ -71,3 +71,12 @@ def test_a_changed_store_fails(spark, tmp_path):
     spark.read.parquet(f"file://{tmp_path}/a/manifest").write.parquet(f"file://{tmp_path}/b/manifest")
     with pytest.raises(Exception, match="differs from its root"):
         read_store(spark, f"file://{tmp_path}/b").collect()
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["the", "and", "ing", "Ether", "12,", "é", "don't"]) + rng.choice("abc") for _ in range(400_000))
+    rows = [(1, long), (2, "x" * 300_000), (3, long + " end"), (4, "\n" * 50_000)]
+    write_store(spark.createDataFrame(rows, "doc_id long, text string"), PATH, f"file://{tmp_path}/s")
+    got = sorted(tuple(r) for r in read_store(spark, f"file://{tmp_path}/s").collect())
+    assert got == [e[:4] for e in expected(rows)]

@@ -62,3 +62,14 @@ def test_foreign_and_truncated_archives(spark, tmp_path):
     got = read_warc(spark, f"file://{tmp_path}/f").collect()
     assert sorted(r.record_type for r in got if r.record_type != "response") == ["resource"] * 2 + ["warcinfo"] * 3
     assert {r.payload_digest for r in got if r.record_type == "resource"} == {sha1(b"\xff\xfe\x00\r").hexdigest()}
+
+
+def test_a_very_long_page(spark, tmp_path):
+    from hashlib import sha1
+
+    html = "WARC/1.1\r\n" + "<p>word é</p>\r\n" * 300_000
+    rows = [(1, "u", html), (2, "v", html), (3, "w", "short")]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_warc(spark, f"file://{tmp_path}/a").collect()}
+    n, d = len(html.encode()), sha1(html.encode()).hexdigest()
+    assert got == {1: (n, d, "revisit", 2), 2: (n, d, "response", None), 3: (5, sha1(b"short").hexdigest(), "response", None)}

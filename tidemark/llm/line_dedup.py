@@ -8,7 +8,8 @@
 3. Each pair's outlines are aligned by patience diff, and common blocks of enough words are cut from the later document.
    Those that the alignment doesn't match, as passages in another order or repeated lines, are found by their windows.
 
-A document is never cut against a later one, so the first holder of a block keeps it.
+A document is never cut against a later one, so the first holder of a block keeps it. Lines are equal if their 63-bit hashes
+are: as only lines of a pair of documents are compared, 10^11 pairs of 100 lines each have one false match in 10,000 corpora.
 """
 
 from __future__ import annotations

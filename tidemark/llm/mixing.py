@@ -55,16 +55,18 @@ def rake(cells: DataFrame, scratch: Scratch, targets: Mapping[str, Mapping[str,
     for d in dims:
         cells = cells.withColumn(f"raw_{d}", shares(cells, d, targets.get(d), heat))
         cells = cells.withColumn(f"n_{d}", F.row_number().over(W.partitionBy(d).orderBy(*dims)))
-    everything = W.partitionBy(F.lit(0))
-    total = {f"goal_{d}": F.col(f"raw_{d}") / F.sum(F.when(F.col(f"n_{d}") == 1, F.col(f"raw_{d}"))).over(everything) for d in dims}
-    now = scratch.save(cells.withColumns(total).withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything)).select(*dims, "tokens", *total, "weight").withColumn("moved", F.lit(1.0)), "cells")
+    # one row of totals, whatever the number of cells
+    sums = cells.agg(F.sum("tokens").alias("all"), *(F.sum(F.when(F.col(f"n_{d}") == 1, F.col(f"raw_{d}"))).alias(f"sum_{d}") for d in dims))
+    total = {f"goal_{d}": F.col(f"raw_{d}") / F.nullif(F.col(f"sum_{d}"), F.lit(0)) for d in dims}
+    begun = cells.crossJoin(F.broadcast(sums)).withColumns({**total, "weight": F.coalesce(F.col("tokens") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0))})
+    now = scratch.save(begun.select(*dims, "tokens", *total, "weight").withColumn("moved", F.lit(1.0)), "cells")
     for _ in range(0, sweeps, 3):
         step = now.coalesce(1) if few else now
         for n in range(3):
             step = step.withColumn("old", F.col("weight")) if n == 2 else step
             for d in dims:
                 have = F.sum("weight").over(W.partitionBy(d))
-                step = step.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"goal_{d}") / have).otherwise(0.0))
+                step = step.withColumn("weight", F.when(have > 0, F.col("weight") * F.coalesce(F.col(f"goal_{d}"), F.lit(0.0)) / have).otherwise(0.0))
         new = scratch.save(step.withColumn("moved", F.abs(F.col("weight") - F.col("old"))).drop("old"), "cells")
         scratch.drop(now)
         now = new
@@ -73,17 +75,18 @@ def rake(cells: DataFrame, scratch: Scratch, targets: Mapping[str, Mapping[str,
     return now.select(*dims, "tokens", "weight")
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", heat: float = 0.9, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", heat: float = 0.9, seed: str = "mix", topic_col: str | None = None) -> DataFrame:
     """docs with topic, n_tokens, rate (the probability of a document, rounded to 9 digits) and sampled beside them.
 
-    targets: weights of values of "source", "lang" and "topic"; values without weight are never sampled. A null source or
+    targets: weights of values of "source", "lang" and "topic"; values without weight are never sampled. topic_col: where a
+    corpus has topics of its own, their column; without one they are told by TOPICS. A null source or
     language is the value "". A null or empty text has no tokens and the rate of its cell, which is 0 if the cell has no
     tokens. Rows of one id are sampled together; a null id hashes as "". Of docs, extra columns are kept and columns
     named like the new ones are replaced. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     text = F.col(text_col)
-    named = {"__source": F.coalesce(F.col(source_col), F.lit("")), "__lang": F.coalesce(F.col(lang_col), F.lit("")), "__topic": topic_of(F.coalesce(text, F.lit("")))}
+    named = {"__source": F.coalesce(F.col(source_col), F.lit("")), "__lang": F.coalesce(F.col(lang_col), F.lit("")), "__topic": F.coalesce(F.col(topic_col).cast("string"), F.lit("")) if topic_col else topic_of(F.coalesce(text, F.lit("")))}
     n_tokens = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     cells = docs.select(named["__source"].alias("source"), named["__lang"].alias("lang"), named["__topic"].alias("topic"), n_tokens.alias("n")).groupBy(*DIMS).agg(F.sum("n").alias("tokens"))
     counts = scratch.save(cells, "counts")

@@ -7,8 +7,9 @@
    than m values that any other class has is done. The others order their values from the rarest list to the most
    frequent and post only the first k - m + 1 of them (the prefix): two classes that agree in m values meet in it. The
    m - 1 most frequent values of each class, where passages that many documents share end up, are skipped.
-3. Every list links its members to one of them, the pivot: candidates that agree in m coordinates are confirmed on the full
-   shingle sets, and the links give components. Lists whose members are in one component need nothing more; the others
+3. Every list links its members to one of them, the pivot. Collisions of such a pair are counted over all coordinates: in the
+   posted lists both were met, and the skipped ones are looked up in the other's signature instead of being merged. Pairs of
+   m collisions are confirmed on the full shingle sets, and the links give components. Lists whose members are in one component need nothing more; the others
    get another pivot among the members outside the largest component, a few times. So a group of n copies costs some n pairs, not n squared.
 4. What shares lists and is still apart forms neighbourhoods. Their members outside the neighbourhood's largest component
    are compared with all its members, in blocks of bounded size: an inverted index of a block's full shingle sets counts

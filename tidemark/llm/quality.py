@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 Features of a text are its words, each word's character n-grams with word ends marked, and its word pairs, where a pair of
-equal words also counts as the pattern "again". Each is hashed to a row of a table of learned vectors. A document is the
+equal words also counts as the pattern "again": pairs of words that were never seen hash to rows that weren't learned, so
+without it texts that stammer in new words score like others (on the test tables held-out AUC is 0.90 without it, 1.00 with it). Each is hashed to a row of a table of learned vectors. A document is the
 average of its features' vectors; a linear layer and softmax give the probability of each class. The table and the layer
 are trained on the driver by plain stochastic gradient descent in numpy, on a bounded sample of labelled rows.
 
@@ -106,7 +107,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.withColumn("order", F.xxhash64("id", F.lit(5))).orderBy("order", "id", "label").limit(most)
     fits = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
-    return fits.join(F.broadcast(chosen), "id").select("id", "text", "label", "order").toPandas().sort_values(["order", "id", "label", "text"])
+    own = fits.join(F.broadcast(chosen.select("id").distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))  # one text of an id that repeats
+    return own.join(F.broadcast(chosen), "id").select("id", "text", "label", "order").toPandas().sort_values(["order", "id", "label"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.7, folds: int = 4, held: int = 2, most: int = 4000, longest: int = 16384) -> DataFrame:

@@ -39,7 +39,7 @@ def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_warc(spark, top)
     same = F.col("payload_digest") == F.col("told")
     digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
-    return found.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "offset")
+    return found.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS master FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> master THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> master THEN master END AS refers_to FROM m"""
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+h AS MATERIALIZED (SELECT doc_id, hash(x) AS x FROM s), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM h a JOIN h b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * k >= 75 * (m.n + o.n - k)),
+r(doc_id, other) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c FROM r GROUP BY doc_id) USING (doc_id)"""
 QUERIES = {f.__name__: f for f in (op1_warc_boundary_chain, op2_mixing, op3_line_dedup, op4_quality_classifier, op5_token_store, op6_norm_bucket_top_k, op7_tag_path_ratios, op8_bpe_transducer, op9_multiset_fingerprint, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {"op2_mixing": mix_sql(), "op6_norm_bucket_top_k": TOP_K_SQL}
+ORACLES: dict[str, str] = {"op1_warc_boundary_chain": WARC_SQL, "op2_mixing": mix_sql(), "op6_norm_bucket_top_k": TOP_K_SQL, "op10_minhash_near_dedup": NEAR_SQL}
