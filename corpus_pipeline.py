@@ -1,4 +1,11 @@
-"""From raw documents to token ids: five stages of tidemark.llm, each working on all that the one before kept."""
+"""From raw documents to token ids: five stages of tidemark.llm, each working on all that the one before kept.
+
+All stages but the last return the columns of documents, extra ones included, whatever their names. Nulls and empty texts are
+texts without words to the classifier, stay as they are in line dedup, link with nothing in near dedup, have no tokens and the
+rate of their cell in mixing, and give no ids. Rows without doc_id pass near dedup and are sampled alike. Rows that repeat an
+id are judged row by row, but for mixing, which samples an id as a whole. Ties go to the lesser id. An empty table passes
+every stage empty; without labels the classifier scores 0.5 and so keeps nothing.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("tokens", tokens)]
-#: Training, alignment and tokenizing aren't expressible in SQL; the tests hold each stage against a brute-force version.
+#: Training, alignment and tokenizing aren't expressible in SQL; tests/llm/test_pipeline.py holds each stage against a second version.
 ORACLE_SQL = None
 
 
