@@ -81,6 +81,9 @@ def test_formats(spark, tmp_path):
     rows = lambda name: [tuple(r) for r in readers.read_any(spark, str(tmp_path / name))[0].collect()]
     assert rows("a.csv") == [("1", "b, c", "d")]
     assert rows("b.json") == [(1, "x"), (2, "y")] and rows("c.jsonl") == [(1,), (2,)] and rows("d.csv") == [("1", "café")] and rows("e.json") == [(7,)]
+    (tmp_path / "f.json").write_text("id,text\n3,not json\n")
+    (tmp_path / "g.xlsx").write_text("id,text\n4,\"two\nlines\"\n")
+    assert rows("f.json") == [("3", "not json")] and rows("g.xlsx") == [("4", "two\nlines")]
     assert [r.row_index for r in readers.indexed(spark.range(10).repartition(3)).orderBy("row_index").collect()] == list(range(10))
     with pytest.raises(ValueError, match="rows"):
         readers.guarded(spark.range(5))

@@ -144,7 +144,7 @@ def test_spam_of_every_length(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("aaaaaaab c!é🙂"[: rng.randint(1, 13)]) for _ in range(rng.randint(0, 24))) for _ in range(1500)] + ["a" * 5000 + "b" * 1000, ". . . . . . ."]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for r in df.select("i", Q.spam(F.col("t")).alias("s")).collect():
+    for r in df.select("i", Q.spam(Q.normal(F.col("t"))).alias("s")).collect():
         s = texts[r.i].strip().lower()
         assert r.s == (len(s) >= 8 and max(map(s.count, set(s))) / len(s) >= 0.75), texts[r.i]
 
@@ -153,3 +153,13 @@ def test_repairs(spark):
     rows = [("x" * 10, "4.6", "1990-01-01"), ("y", "bad", "2024-05-05"), ("z", "3", None)]
     got = Q.repaired(spark.createDataFrame(rows, "t string, r string, d string"), "t", "r", "d", most=5, as_of=F.lit("2024-06-01").cast("timestamp")).collect()
     assert [(r.t, r.r, str(r.d.date()), r.warnings) for r in got] == [("xxxxx", 5, "2024-06-01", 3), ("y", 3, "2024-05-05", 1), ("z", 3, "2024-06-01", 1)]
+
+
+def test_runs_refuse_what_is_no_number(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5, "x")], "id string, v double, raw_text string")
+    sinks.write_run({"r": df}, str(tmp_path), "1", "json")
+    assert [tuple(r) for r in sinks.read_latest(spark, str(tmp_path), "r", "json").select("id", "v").collect()] == [("a", 1.5)]
+    with pytest.raises(Exception, match="isn't a number"):
+        sinks.write_run({"r": df.withColumn("v", F.lit(float("nan")))}, str(tmp_path), "2")
+    made = sinks.bootstrap(spark, str(tmp_path / "db"), {"t": "id string, domain string"}, "domain")
+    assert made == ["t"] and sinks.bootstrap(spark, str(tmp_path / "db"), {"t": "id string, domain string"}, "domain") == []

@@ -20,24 +20,28 @@ def term_counts(texts: DataFrame, group: str, tokens: Column, stop: list[str], m
     kept = F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
     words = texts.select(group, kept.alias("__t"))
     cell = words.select(group, F.explode(grams(F.col("__t"), most)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("tf"))
-    top = cell.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).filter(F.col("df") >= least_groups).orderBy(F.desc("all"), "term").limit(features).select("term")
-    return cell.join(F.broadcast(top), "term")
+    # a term's row holds its groups, which are a dimension (clusters, sources), so texts are read once
+    top = cell.groupBy("term").agg(F.sum("tf").alias("all"), F.collect_list(F.struct(group, "tf")).alias("cells")).filter(F.size("cells") >= least_groups).orderBy(F.desc("all"), "term").limit(features)
+    return top.select("term", F.explode("cells").alias("c")).select(f"c.{group}", "term", "c.tf")
 
 
 def class_tfidf(counts: DataFrame, group: str) -> DataFrame:
     """(1 + ln tf) * ln(1 + A / f): f is the number of groups with the term, A its mean over terms."""
-    f = counts.groupBy("term").agg(F.count("*").alias("f"))
-    mean = f.agg(F.avg("f").alias("a"))
-    weight = (1 + F.ln("tf")) * F.ln(1 + F.col("a") / F.col("f"))
-    return counts.join(f, "term").crossJoin(F.broadcast(mean)).select(group, "term", weight.alias("weight"))
+    terms = counts.groupBy("term").agg(F.collect_list(F.struct(group, "tf")).alias("cells"))
+    mean = terms.withColumn("a", F.avg(F.size("cells")).over(W.partitionBy()))  # one row for each term, of which there are a few thousand
+    weight = (1 + F.ln("c.tf")) * F.ln(1 + F.col("a") / F.col("f"))
+    return mean.select("term", "a", F.size("cells").alias("f"), F.explode("cells").alias("c")).select(f"c.{group}", "term", weight.alias("weight"))
 
 
 def tfidf(counts: DataFrame, group: str, sublinear: bool = False) -> DataFrame:
     """tf * (ln((1 + n) / (1 + df)) + 1) with rows of length 1; n is the number of groups; sublinear: 1 + ln tf."""
-    n = counts.agg(F.count_distinct(group).alias("n"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    terms = counts.groupBy("term").agg(F.collect_list(F.struct(group, "tf")).alias("cells"))
+    own = terms.select("term", F.size("cells").alias("df"), F.explode("cells").alias("c")).select(f"c.{group}", "term", "c.tf", "df")
+    # the number of groups: each cell is one of its group's number of cells
+    n = F.sum(F.lit(1.0) / F.col("size")).over(W.partitionBy())
+    sized = own.withColumn("size", F.count("*").over(W.partitionBy(group))).withColumn("n", F.round(n))
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")
-    raw = counts.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", tf * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = sized.withColumn("w", tf * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(group)))).select(group, "term", "weight")
 
 

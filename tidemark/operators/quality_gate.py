@@ -92,29 +92,34 @@ def normalize(df: DataFrame, index: str = "row_index", as_of: str | None = None,
     return rated.select(review_id(text, F.coalesce(raw.cast("string"), F.lit(stamp)), F.col(index)).alias("review_id"), text.alias("review_text"), F.col("rating"), *(pick(t).alias(t) for t in DEFAULTS), created.alias("created_at"), extra.alias("extra_metadata"), F.col(index).alias("row_index"))
 
 
-def spam(text: Column) -> Column:
-    """Whether one character is three quarters of a text of at least 8.
+def normal(text: Column) -> Column:
+    """A text in lower case without white space at its ends, empty for null: what the gate's rules look at."""
+    return F.lower(strip(F.coalesce(text, F.lit(""))))
+
+
+def spam(s: Column) -> Column:
+    """Whether one character is three quarters of a normal text of at least 8.
 
     Such a character stands twice in a row somewhere, and three times in texts of more than 8, so only those that do are counted.
     """
-    s = F.lower(strip(text))
     n = F.length(s)
     runs = lambda more: F.array_distinct(F.regexp_extract_all(s, F.lit(rf"(?s)(.)\1{more}"), F.lit(1)))
     most = F.array_max(F.transform(F.when(n == 8, runs("")).otherwise(runs(r"\1")), lambda c: n - F.length(F.replace(s, c, F.lit("")))))
-    return (n >= 8) & F.coalesce(most / n >= 0.75, F.lit(False))
+    # most texts have no such run
+    return F.when(s.rlike(r"(?s)(.)\1"), (n >= 8) & F.coalesce(most / n >= 0.75, F.lit(False))).otherwise(F.lit(False))
 
 
-def rejection(text: Column) -> Column:
-    """The first reason that a text is rejected for by itself, else null."""
-    s = F.lower(strip(F.coalesce(text, F.lit(""))))
+def rejection(s: Column) -> Column:
+    """The first reason that a normal text is rejected for by itself, else null."""
     letters = F.length(F.trim(F.regexp_replace(s, r"(?U)[^\w\s]", "")))
-    return F.when((s == "") | s.isin(*L.SENTINELS), "EMPTY_TEXT").when(spam(text), "REPETITIVE_CHARACTER_SPAM").when((letters < 6) | s.isin(*L.FILLERS), "DEGENERATE_SHORT_TEXT")
+    # six letters or digits are enough, and most texts begin with them
+    few = F.when(s.rlike(r"(?U)(?:\w\W*+){6}"), F.lit(False)).otherwise(letters < 6)
+    return F.when((s == "") | s.isin(*L.SENTINELS), "EMPTY_TEXT").when(spam(s), "REPETITIVE_CHARACTER_SPAM").when(few | s.isin(*L.FILLERS), "DEGENERATE_SHORT_TEXT")
 
 
 def gate(df: DataFrame, text: str = "review_text", index: str = "row_index", most: int = 4000) -> DataFrame:
     """df with rejection_code (null: clean) and truncated; of equal texts among the otherwise clean rows the first by index is kept."""
-    key = F.sha2(F.regexp_replace(F.lower(strip(F.col(text))), r"(?U)\s+", " "), 256)
-    own = df.withColumns({"__code": rejection(F.col(text)), "__key": key})
+    own = df.withColumn("__s", normal(F.col(text))).withColumn("__code", rejection(F.col("__s"))).withColumn("__key", F.md5(F.regexp_replace("__s", r"(?U)\s{2,}|[\s&&[^ ]]", " ").cast("binary")))
     # only texts that repeat are joined back, each with its first index, however many rows have it
     again = own.filter("__code is null").groupBy("__key").agg(F.min(index).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
     code = F.coalesce("__code", F.when(F.col("__first") < F.col(index), "DUPLICATE_TEXT"))

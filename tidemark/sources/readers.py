@@ -13,10 +13,16 @@ ENCODINGS = ("utf-8-sig", "utf-8", "latin-1", "cp1252")
 
 
 def head(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
-    """The first bytes of a file, read by Spark's own file system."""
+    """The first bytes of a file, or of the first one of a folder, read by Spark's own file system."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        files = sorted(str(f.getPath()) for f in fs.listStatus(p) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._")
+        if not files:
+            return b""
+        p = jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = fs.open(p)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
     finally:
@@ -50,9 +56,11 @@ def indexed(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Delimited text. Files are split among tasks unless the head shows line ends inside quotes."""
     data = head(spark, path)
     encoding = encoding_of(data)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", delimiter_of(data.decode(encoding, "replace"))).option("encoding", {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}[encoding])
+    quoted = any(line.count(b'"') % 2 for line in data[: data.rfind(b"\n") + 1].split(b"\n"))
+    reader = spark.read.option("header", True).option("multiLine", quoted).option("escape", '"').option("sep", delimiter_of(data.decode(encoding, "replace"))).option("encoding", {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}[encoding])
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -84,19 +92,16 @@ def read_any(spark: SparkSession, source: str | DataFrame) -> tuple[DataFrame, s
     if isinstance(source, DataFrame):
         return source, "dataframe"
     ending = source.lower().rpartition(".")[2]
-    try:
-        if ending in ("xlsx", "xls"):
+    if ending == "parquet":
+        return spark.read.parquet(source), "parquet"
+    if ending in ("xlsx", "xls"):
+        if head(spark, source, 8)[:2] in (b"PK", b"\xd0\xcf"):  # else it only has the name of one
             return read_excel(spark, source), "excel"
-        if ending in ("jsonl", "ndjson"):
-            return read_json(spark, source, True), "jsonl"
-        if ending == "json":
-            df = read_json(spark, source)
-            if df.columns != ["_corrupt_record"]:
-                return df, "json"
-        if ending == "parquet":
-            return spark.read.parquet(source), "parquet"
-    except ValueError:
-        raise
+    elif ending in ("json", "jsonl", "ndjson"):
+        lines = True if ending != "json" else None
+        df = read_json(spark, source, lines)
+        if "_corrupt_record" not in df.columns:
+            return df, "json" if lines is None else "jsonl"
     return read_csv(spark, source), "tsv" if ending == "tsv" else "csv"
 
 

@@ -11,18 +11,32 @@ from pyspark.sql import functions as F
 from tidemark.sources.artifacts import exists
 
 
-def write_run(frames: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Each frame without raw_text below its name and the run's id."""
+def write_run(frames: dict[str, DataFrame], path: str, run_id: str, kind: str = "parquet") -> None:
+    """Each frame without raw_text below its name and the run's id, as parquet or json; a NaN or an infinity fails the write."""
     for name, df in frames.items():
-        df.drop("raw_text").write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+        out = df.drop("raw_text")
+        for c, t in out.dtypes:
+            if t in ("double", "float"):
+                bad = F.isnan(c) | (F.abs(c) == float("inf"))
+                out = out.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} isn't a number"))).otherwise(F.col(c)))
+        out.write.mode("overwrite").format(kind).save(f"{path}/{name}/run_id={run_id}")
 
 
-def read_latest(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/run_id=*")
+def read_latest(spark: SparkSession, path: str, name: str, kind: str = "parquet") -> DataFrame:
+    """The rows of the latest run."""
+    df = spark.read.option("basePath", f"{path}/{name}").format(kind).load(f"{path}/{name}/run_id=*")
     last = df.agg(F.max("run_id")).first()[0]
     return df.filter(F.col("run_id") == last).drop("run_id")
 
 
+def bootstrap(spark: SparkSession, root: str, schemas: dict[str, str], partition: str) -> list[str]:
+    """Makes the tables that aren't there yet, empty; their names."""
+    made = [n for n in schemas if not exists(spark, f"{root}/{n}")]
+    for n in made:
+        spark.createDataFrame([], schemas[n]).write.partitionBy(partition).parquet(f"{root}/{n}")
+    return made
+
+
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: str, partition: str, overwrite: bool = False, order: str | None = None) -> None:
     """Rows of new keys, or with overwrite whole partitions anew; of rows with one key the first by order stays (without: any of the least)."""
     by = [order] if order else [c for c in new.columns if c != key]

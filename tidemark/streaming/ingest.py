@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.drift import CRITICAL, MODERATE, psi
-from tidemark.operators.quality_gate import rejection
+from tidemark.operators.quality_gate import normal, rejection
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int = 100) -> DataFrame:
@@ -17,7 +17,7 @@ def read_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
 
 def clean(stream: DataFrame, text: str, stamp: str, late: str = "1 hour") -> DataFrame:
     """Rows that pass the gate, one for each text within the time that rows may be late."""
-    passed = stream.filter(rejection(F.col(text)).isNull()).withColumn("__k", F.xxhash64(F.lower(F.trim(text))))
+    passed = stream.filter(rejection(normal(F.col(text))).isNull()).withColumn("__k", F.xxhash64(F.lower(F.trim(text))))
     return passed.withWatermark(stamp, late).dropDuplicatesWithinWatermark(["__k"]).drop("__k")
 
 
