@@ -98,6 +98,14 @@ def entity_summary(rows: DataFrame, entities: str = "entities") -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(hit).alias("pii_count"), rate(F.count_if(hit), F.count("*")).alias("pii_rate"))
 
 
+def release_measures(reviews: DataFrame, cohort: str = "batch", sentiment: str = "sentiment") -> DataFrame:
+    """Per cohort the share of positive and of negative reviews, and how the negative share moved since the one before."""
+    n, of = F.count("*"), lambda s: F.count_if(F.col(sentiment) == s) * 100.0 / F.count("*")
+    out = reviews.filter(F.col(cohort).isNotNull()).groupBy(cohort).agg(n.alias("n"), of("POSITIVE").alias("p"), of("NEGATIVE").alias("neg"))
+    before = F.lag("neg").over(W.orderBy(cohort))  # one row for each cohort
+    return out.select(cohort, F.round("p", 2).alias("sentiment_index"), F.round("neg", 2).alias("negative_pct"), F.round(F.col("neg") - before, 2).alias("negative_delta"))
+
+
 def word_counts(texts: DataFrame, tokens: Column, stop: list[str], top: int = 60) -> DataFrame:
     words = texts.select(F.explode(tokens).alias("word")).filter(~F.col("word").isin(*stop) if stop else F.lit(True))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)

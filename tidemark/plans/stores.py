@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import embedding as E
 from tidemark.functions import text as T
 from tidemark.operators import aggregates as A
+from tidemark.operators import clusters as C
 from tidemark.operators import keywords as K
 from tidemark.operators import quality_gate as Q
 from tidemark.operators import records as P
@@ -16,6 +17,8 @@ from tidemark.operators import vectors as X
 from tidemark.plans.adapters import read
 from tidemark.plans.queries import GUESS, guesses, query
 from tidemark.plans.service import CLUSTERED, FACTS, both, clustered, few
+from tidemark.plans.service import c8_o3_feature_requests as requests
+from tidemark.plans.service import c9_praise_clusters as praise
 from tidemark.plans.service import V as REVIEWS
 from tidemark.sources import artifacts, readers, sinks
 
@@ -194,3 +197,44 @@ def q19_s12_required(spark, sf):
 def s11_guarded(spark, sf):
     o = read(spark, sf, "orders")
     return readers.guarded(o, "o_orderpriority", 20, 10**9).agg(F.count("*").alias("n"), F.count_distinct("o_orderpriority").alias("classes"))
+
+
+@query(f"WITH {CLUSTERED} SELECT sum(n)::BIGINT AS total, round(avg(CASE WHEN cluster_id = 0 THEN 85.0::DOUBLE ELSE delight END), 1) AS mean_delight FROM eo WHERE n / total >= 0.02")
+def v5_praise_figures(spark, sf):
+    own = praise(spark, sf).withColumn("delight_score", F.when(F.col("cluster_id") != 0, F.col("delight_score")))
+    return C.praise_figures(own.crossJoin(F.broadcast(own.agg(F.sum("praise_count").alias("t")))).filter(F.col("praise_count") / F.col("t") >= 0.02))
+
+
+@query(f"WITH {CLUSTERED} SELECT cluster_id AS request_id, n AS vote_count FROM eo WHERE n / total < 0.16 AND contains(lower(coalesce(made || ' Request', 'Feature Proposal #' || (cluster_id + 1))), 'the')")
+def v6_filtered_requests(spark, sf):
+    return S.matching(requests(spark, sf), ["title"], "THE", priority="low").select("request_id", "vote_count")
+
+
+@query("SELECT 'REV-U-' || upper(substr(sha256(concat_ws('_', regexp_replace(text, '^\\\\s+|\\\\s+$', '', 'g'), 'static_ts', doc_id)), 1, 12)) AS review_id, doc_id AS row_index FROM documents ORDER BY doc_id LIMIT 3")
+def p10_preview(spark, sf):
+    return Q.preview(Q.normalize(read(spark, sf, "documents"), "doc_id", "2024-01-01T00:00:00")).select("review_id", "row_index")
+
+
+@query("SELECT 'lang,n_chars,source,text' AS extra, 'rating' AS missing, count(*) AS n FROM documents")
+def u5_column_differences(spark, sf):
+    d = read(spark, sf, "documents")
+    extra, missing = P.column_differences(sorted(d.columns), ["doc_id", "rating"])
+    return d.agg(F.lit(",".join(extra)).alias("extra"), F.lit(",".join(missing)).alias("missing"), F.count("*").alias("n"))
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS dot, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM embeddings, q")
+def f6_products(spark, sf):
+    v = read(spark, sf, "embeddings")
+    q = v.filter("vec_id = 7").select(F.col("embedding").alias("q"))
+    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(X.dot(F.col("embedding"), F.col("q")), 6).alias("dot"), F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
+@query("SELECT event_id, ts FROM events")
+def f1_p6_iso_stamps(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("raw"))
+    return e.select("event_id", Q.timestamp_of(F.col("raw"), F.lit("1970-01-01").cast("timestamp"))[0].alias("ts"))
+
+
+@query(REVIEWS + ", b AS (SELECT batch, round(count(*) FILTER (sentiment = 'POSITIVE') * 100.0 / count(*), 2) AS sentiment_index, count(*) FILTER (sentiment = 'NEGATIVE') * 100.0 / count(*) AS neg FROM v GROUP BY batch) SELECT batch, sentiment_index, round(neg, 2) AS negative_pct, round(neg - lag(neg) OVER (ORDER BY batch), 2) AS negative_delta FROM b")
+def a30_release_measures(spark, sf):
+    return A.release_measures(both(spark, sf)[0])
