@@ -77,27 +77,27 @@ def router_intent(sentence: Column) -> Column:
     text = F.trim(plain_quotes(F.coalesce(sentence, F.lit(""))))
     out = lambda label, conf: F.struct(F.lit(label).alias("label"), (conf if isinstance(conf, Column) else F.lit(conf)).cast("double").alias("confidence"))
 
-    def step(state: Column, c: Column) -> Column:
-        failed, negated = c.rlike(L.FAILED_MITIGATION), c.rlike(L.NEGATED)
-        skip = ~failed & negated
+    def told(c: Column) -> Column:
+        """What one clause has, each pattern tried once."""
         strong = F.filter(F.transform(matches(c, L.COMPLAINT), lambda x: F.lower(x)), lambda x: ~x.isin(*L.PURE_MARKERS))
         weak = F.when(c.rlike(L.WEAK_TRIGGER) & c.rlike(L.WEAK_CONTEXT) & ~c.rlike(L.RESOLVED), matches(c, L.WEAK_TRIGGER)).otherwise(F.array().cast("array<string>"))
-        tokens = F.when(skip, state["tokens"]).otherwise(F.concat(state["tokens"], strong, weak))
-        return F.struct(tokens.alias("tokens"), (state["praise"] | c.rlike(L.PRAISE)).alias("praise"), (~failed & (negated | state["mitigated"])).alias("mitigated"))
+        return F.struct(c.rlike(L.FAILED_MITIGATION).alias("failed"), c.rlike(L.NEGATED).alias("negated"), F.concat(strong, weak).alias("terms"), c.rlike(L.PRAISE).alias("praise"))
+
+    def decided(parts: Column) -> Column:
+        terms = F.flatten(F.transform(F.filter(parts, lambda c: c["failed"] | ~c["negated"]), lambda c: c["terms"]))
+        mild = F.aggregate(parts, F.lit(False), lambda was, c: ~c["failed"] & (c["negated"] | was))
+        return F.when(F.size(terms) > 0, out("COMPLAINT", evidence(distinct_terms(terms), 0.50))).when(F.exists(parts, lambda c: c["praise"]), out("PRAISE", 0.90)).when(mild, out("PRAISE", 0.85)).otherwise(out("NOISE", 0.80))
 
-    zero = F.struct(F.array().cast("array<string>").alias("tokens"), F.lit(False).alias("praise"), F.lit(False).alias("mitigated"))
-    state = F.aggregate(clauses(text), zero, step)
     wishes = matches(text, L.RECOMMENDATION)
     promotion = text.rlike(L.PROMOTION) & ~text.rlike(L.EXPLICIT_DEFECT)
+    # an array of one element, so that the clauses are a bound value and not computed again for each branch
+    by_clauses = F.get(F.transform(F.array(F.transform(clauses(text), told)), decided), F.lit(0))
     return (
         F.when(text == "", out("NOISE", 0.80))
         .when(promotion & text.rlike(L.PRAISE), out("PRAISE", 0.90))
         .when(promotion, out("NOISE", 0.80))
         .when(F.size(wishes) > 0, out("RECOMMENDATION", evidence(distinct_terms(wishes), 0.40)))
-        .when(F.size(state["tokens"]) > 0, out("COMPLAINT", evidence(distinct_terms(state["tokens"]), 0.50)))
-        .when(state["praise"], out("PRAISE", 0.90))
-        .when(state["mitigated"], out("PRAISE", 0.85))
-        .otherwise(out("NOISE", 0.80))
+        .otherwise(by_clauses)
     )
 
 
