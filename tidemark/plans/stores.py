@@ -44,7 +44,7 @@ def x9_content_key(spark, sf):
     return E.content_key(read(spark, sf, "documents"), "text", "doc_id", "model", 384)
 
 
-@query()
+@query("SELECT doc_id, 'prop_' || lang AS namespace, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]{2}') THEN 1.0::DOUBLE ELSE 0 END AS length, 384 AS size FROM documents")
 def x6_x8_hashed_vectors(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("intent"))
     return E.encoded_by_aspect(d, "text", "intent", E.hashed_vector).select("doc_id", "namespace", F.round(X.norm(F.col("vector")), 6).alias("length"), F.size("vector").alias("size"))
