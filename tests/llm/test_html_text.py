@@ -99,7 +99,7 @@ def second_scores(page):
             mean = {q: sum(f(page[i]) for i in of(q)) / len(of(q)) for q in paths}
             even = []
             for i in of(p):
-                near = [(exp(-((j - i) ** 2) / 2) * (1 if page[j].nodes[:-1] == page[i].nodes[:-1] else 0.2), mean[page[j].path]) for j in range(len(page)) if abs(i - j) <= 2]
+                near = [(exp(-((j - i) ** 2) / 2) * (1 if page[j].nodes[:-1] == page[i].nodes[:-1] else 0.05), mean[page[j].path]) for j in range(len(page)) if abs(i - j) <= 2]
                 even.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
             fused *= k + sum(even) / len(even)
         out[p] = fused * max(page[i].weight for i in of(p))
@@ -122,3 +122,15 @@ def test_the_test_tables_pages(spark):
         own = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         want = [" ".join(html_text.unescape(re.sub(r"<[^>]+>", " " if x.startswith("<br") else "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", own)]
         assert extract(r.html) == "\n".join(filter(None, want))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><header><h1>My Blog</h1><p>A tagline, short.</p><ul><li><a>Home</a></ul></header><div id=wrap><div class=post><h2>Title</h2><div class=meta>By Jo</div><p>{LONG}</p><ul><li>One<li>Two</ul><p>End.</p></div><div class=sidebar><p>I write, often.</p></div></div><div id=comments><p>Great post, thanks!</p></div>", f"Title\nBy Jo\n{LONG}\nOne\nTwo\nEnd."),
+    (f"<body><div><a href=1>A</a> | <a href=2>B</a></div><div><div><h1>Head</h1></div><div>{LONG}<br>{LONG}</div></div><div>Copyright, all rights reserved, 2020.</div>", f"Head\n{LONG} {LONG}"),
+    ("<body><div class='notice'>We will be down, on Monday, for a while. Sorry for that, all.</div><main><article><h1>H</h1><p>Of.</p></article></main>", "H\nOf."),
+    (f"<body><form><div><h1>H</h1><p>{LONG}</p></div><select><option>x</select></form></body>", f"H\n{LONG}"),
+    ("<body><form>Your name, please. Thanks! <input></form></body>", ""),
+    (f"<article><header><h1>Head</h1></header><section><h2>A</h2><p>{LONG}</p></section><section class=comments><p>{LONG}</p></section></article>", f"Head\nA\n{LONG}"),
+])
+def test_whole_pages(page, text):
+    assert extract(page) == text

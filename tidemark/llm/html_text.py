@@ -42,13 +42,14 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 STRONG = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsored|cookies?|consent|gdpr|popup|modal|sidebar|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|disqus|newsletter)(?:$|[-_\s\d])", re.I)
-WEAK = re.compile(r"(?:^|[-_\s])(?:sponsor|promo|promotion|banner|notices?|alert|overlay|widget|menu|respond|replies|share|sharing|social|related|recommended|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?:$|[-_\s\d])", re.I)
+BOXES = re.compile(r"(?:^|[-_\s])(?:notices?|alert|banner|menu|promo|sponsor|overlay|subscribe|signup|login)(?:$|[-_\s\d])", re.I)  # as names of an element that holds others
+WEAK = re.compile(r"(?:^|[-_\s])(?:promotion|widget|respond|replies|share|sharing|social|related|recommended|search|pagination|pager|toolbar|skip)(?:$|[-_\s\d])", re.I)
 UNSAID = re.compile(r"\S*\b(?:has|with|no|without)[-_]\S+|\S+[-_](?:open|closed|enabled|disabled|none)(?!\S)", re.I)  # what a page has beside this element
 MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:hidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
-SHARE, LINKS, SPAN, APART = 0.1, 0.6, 2, 0.2
+SHARE, LINKS, SPAN, APART = 0.15, 0.6, 2, 0.05
 LANDMARK, PLAIN, DOUBTFUL, OTHER = 10.0, 1.0, 0.5, 1e-3  # weights of a path
 DEEPEST = 64  # block-level elements of a path; those further in are taken for the last of these
 
@@ -80,20 +81,24 @@ def tag_of(name: str) -> str:
     return name.partition(".")[0]
 
 
-def weighed(tag: str, attributes: str) -> float:
-    """What an element's tag, class, id or role says of its being content."""
+def weighed(tag: str, attributes: str, parent: str) -> float:
+    """What an element's tag, class, id or role says of its being content; a header of the page's body is the page's."""
     if tag in ("article", "main"):
         return LANDMARK
+    if tag == "header" and parent in ("", "html", "body"):
+        return OTHER
     if not attributes or tag in ("body", "html"):
         return PLAIN
     named = [UNSAID.sub("", "".join(m)) for m in MARKS.findall(attributes)]
     if any(map(STRONG.search, named)):
         return OTHER if tag not in HEADINGS else PLAIN
-    return DOUBTFUL if tag not in LEAVES and any(map(WEAK.search, named)) else PLAIN
+    if tag in LEAVES:
+        return PLAIN
+    return OTHER if any(map(BOXES.search, named)) else DOUBTFUL if any(map(WEAK.search, named)) else PLAIN
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, their character references decoded and white space made one space each."""
+def blocks(html: str, forms: bool = False) -> list[Block]:
+    """The blocks of a page in order, their character references decoded and white space made one space each; forms: theirs too."""
     found: list[Block] = []
     path: list[tuple[str, int, float]] = []  # open block-level elements, from the outermost on
     parts: list[str] = []
@@ -166,8 +171,8 @@ def blocks(html: str) -> list[Block]:
         named = CLASS.search(attributes)
         name = "".join(filter(None, named.groups())) if named else ""
         number += 1
-        path.append((f"{tag}.{name}" if name else tag, number, weighed(tag, attributes)))
-        if not skip and (tag in SKIP or ATTRIBUTE.search(attributes)) and tag not in ("html", "body"):
+        path.append((f"{tag}.{name}" if name else tag, number, weighed(tag, attributes, tag_of(path[-1][0]) if path else "")))
+        if not skip and ((tag in SKIP and not (forms and tag == "form")) or ATTRIBUTE.search(attributes)) and tag not in ("html", "body"):
             skip = len(path)
     told(html[at:])
     end()
@@ -271,7 +276,14 @@ def main_blocks(page: list[Block]) -> list[str]:
 
 
 def extract(html: str | None) -> str:
-    return "\n".join(main_blocks(blocks(html or "")))
+    """The main text of a page. Where there is none, it may stand in a form around the page, if that has paragraphs to read."""
+    html = html or ""
+    texts = main_blocks(blocks(html))
+    if not texts and re.search(r"<form\b", html, re.I):
+        page = blocks(html, True)
+        if any(b.plain >= 80 and len(PUNCTUATION.findall(b.text)) > 1 for b in page):
+            texts = main_blocks(page)
+    return "\n".join(texts)
 
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
