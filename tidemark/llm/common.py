@@ -119,7 +119,10 @@ def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) ->
 
 
 class Ranges:
-    """Ranges of about so many rows of a long column, numbered from 0, for tables that have the column.
+    """Ranges of at most about so many rows of a long column, numbered from 0, for tables that have the column.
+
+    There are as many as the session has shuffle partitions, or more where these would be too large, or fewer where they
+    would be under least, by default a fiftieth of rows.
 
     Spark's range partitioner finds them in the column alone, so every range is bounded however many there are, but for
     rows of one value, which share a range. What is kept of them is their least value: a table of 16 bytes for each range.
@@ -127,8 +130,9 @@ class Ranges:
     which Spark sends the table to all tasks while it is small enough by its own threshold. Nulls are in range 0.
     """
 
-    def __init__(self, scratch: Scratch, df: DataFrame, column: str, rows: int):
-        self.column, self.n = column, max(1, -(-df.count() // rows))
+    def __init__(self, scratch: Scratch, df: DataFrame, column: str, rows: int, least: int | None = None):
+        count, partitions = df.count(), int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.column, self.n = column, max(1, -(-count // rows), min(partitions, -(-count // (least or max(1, rows // 50)))))
         ranged = df.select(column).repartitionByRange(self.n, column).select(F.spark_partition_id().alias("p"), column)
         step = int(self.n**0.5) + 1
         # the held number of partitions may be greater than the one asked for

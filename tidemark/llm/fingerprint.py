@@ -71,13 +71,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2500) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 50_000) -> DataFrame:
     """Per document: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document, in ascending order of ids and, where they are equal, of a hash of the texts; null ids come first, and
     after the last document comes the first. A null text counts as empty; an empty text is one empty paragraph. Other
-    columns aren't read, and an empty table gives an empty one. rows: about so many documents make a range.
+    columns aren't read, and an empty table gives an empty one. rows: at most about so many documents make a range.
     """
     least = -(1 << 63)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a row goes to its own range; the first of a range also behind the range before, the first of all also behind the last
     at = lambda p, wrap, ghost: F.struct(p.cast("int").alias("p"), F.lit(wrap).alias("wrap"), F.lit(ghost).alias("ghost"))
     to = F.array_compact(F.array(at(F.col("own"), 0, False), F.when(F.col("head"), at(F.col("own") - 1, 0, True)), F.when(F.col("k") == (least if first is None else first), at(F.lit(ranges.last), 1, True))))
-    dealt = ranges.add(own, "own", "head").select("*", F.explode(to).alias("to")).select("to.*", "doc_id", "k", "text")
+    dealt = ranges.add(own, "own", "head").select("*", F.explode(to).alias("to")).select("to.*", "doc_id", "k", "text").repartitionById(ranges.last + 1, "p")
     order = W.partitionBy("p").orderBy("wrap", "k", "ghost", F.xxhash64("text"), "text")
     dealt = dealt.withColumns({"r": F.row_number().over(order), "next": F.lead("text").over(order)})
     n = F.length("text")

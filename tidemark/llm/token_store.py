@@ -165,11 +165,11 @@ STORED = "pack int, place int, doc_id long, n_tokens long, sizes binary, names b
 KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 
 
-def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", rows: int = 2500) -> None:
+def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", rows: int = 50_000) -> None:
     """The store of docs below the folder top, which must be shared and new.
 
     Null and empty texts have the end id alone. Documents of one id, or of none (which come first), follow each other by
-    their bytes. Other columns aren't stored. rows: about so many documents make a pack.
+    their bytes. Other columns aren't stored. rows: at most about so many documents make a pack.
     """
     scratch = Scratch(docs.sparkSession, "token-store")
     ranges = Ranges(scratch, docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", rows)

@@ -93,7 +93,7 @@ def searched(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -
 def blocked(scratch: Scratch, vectors: DataFrame, rows: int) -> DataFrame:
     """vectors with block: the dimension, the range of lengths and, where a range holds more rows than a block, a share of it."""
     squared = vectors.withColumn("square", F.least(F.round(F.col("norm") * F.col("norm")), F.lit(9e18)).cast("long"))
-    ranged = Ranges(scratch, squared, "square", rows).add(squared, "range").withColumn("dim", F.size("v")).drop("square")
+    ranged = Ranges(scratch, squared, "square", rows, rows).add(squared, "range").withColumn("dim", F.size("v")).drop("square")
     full = ranged.groupBy("dim", "range").agg(F.ceil(F.count("*") / rows).alias("shares"))
     dealt = ranged.join(full, ["dim", "range"])
     share = F.pmod(F.xxhash64("id", "twin"), F.col("shares"))
