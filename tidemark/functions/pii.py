@@ -60,13 +60,15 @@ def redact(df: DataFrame, column: str, stop: list[str] | None = None, secret: by
     labelled, framed = f"({L.PHONE_LABEL})({L.PHONE_NUMBER})", L.NAME_FRAME + L.NAME
     now, step = F.col(column), lambda c, n: F.regexp_replace(c, n, "[REDACTED_PHONE]")
     hit = lambda pattern: now.rlike(pattern)
-    out = df.withColumns({"__order": hit(ORDER), "__pin": hit(L.PIN)})
+    # all but addresses and names need a digit, and addresses a sign, which is soon looked for
+    out = df.withColumns({"__digit": hit("[0-9]"), "__at": F.contains(now, F.lit("@"))})
+    out = out.withColumns({"__order": F.col("__digit") & hit(ORDER), "__pin": F.col("__digit") & hit(L.PIN)})
     out = out.withColumn(column, F.when(F.col("__order"), F.regexp_replace(now, ORDER, "[REDACTED_ORDER_ID]")).otherwise(now))
-    out = out.withColumn("__card", F.when(now.rlike(L.CARD), F.exists(F.regexp_extract_all(now, F.lit(f"({L.CARD})"), F.lit(1)), is_card)).otherwise(F.lit(False)))
+    out = out.withColumn("__card", F.when(F.col("__digit") & now.rlike(L.CARD), F.exists(F.regexp_extract_all(now, F.lit(f"({L.CARD})"), F.lit(1)), is_card)).otherwise(F.lit(False)))
     out = out.withColumn(column, F.when(F.col("__card"), spliced(now, L.CARD, lambda x: F.when(is_card(x), "[REDACTED_PAYMENT_CARD]"))).otherwise(now))
-    out = out.withColumn("__phone", hit(labelled) | hit(L.PHONE_E164) | hit(L.PHONE_TEN))
+    out = out.withColumn("__phone", F.col("__digit") & (hit(labelled) | hit(L.PHONE_E164) | hit(L.PHONE_TEN)))
     out = out.withColumn(column, F.when(F.col("__phone"), step(step(F.regexp_replace(now, labelled, "$1[REDACTED_PHONE]"), L.PHONE_E164), L.PHONE_TEN)).otherwise(now))
-    out = out.withColumn("__email", hit(L.EMAIL))
+    out = out.withColumn("__email", F.col("__at") & hit(L.EMAIL))
     out = out.withColumn(column, F.when(F.col("__email"), emails(now, secret)).otherwise(now))
     out = out.withColumn(column, F.when(F.col("__pin"), F.regexp_replace(now, L.PIN, "$1[REDACTED_PINCODE]")).otherwise(now))
     out = out.withColumn("__name", F.when(hit(framed), F.exists(F.regexp_extract_all(now, F.lit(f"({framed})"), F.lit(1)), lambda x: is_name(x, stop))).otherwise(F.lit(False)))
@@ -74,4 +76,4 @@ def redact(df: DataFrame, column: str, stop: list[str] | None = None, secret: by
     out = out.withColumn(column, F.when(F.col("__name"), spliced(now, framed, shown)).otherwise(now))
     hits = ("__order", "__card", "__email", "__phone", "__pin", "__name")
     tags = F.array_compact(F.array(*(F.when(F.col(h), n) for h, n in zip(hits, L.ENTITIES, strict=True))))
-    return out.withColumn(entities, F.when(now.isNull(), F.array().cast("array<string>")).otherwise(tags)).drop(*hits)
+    return out.withColumn(entities, F.when(now.isNull(), F.array().cast("array<string>")).otherwise(tags)).drop(*hits, "__digit", "__at")

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import lexicon as L
 
 
+#: White space of any kind.
+SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(text: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at the ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def plain_quotes(text: Column) -> Column:
@@ -56,7 +60,7 @@ def sentences(text: Column, least_words: int = 0) -> Column:
     starts = F.aggregate(F.transform(parts, lambda x: x["n"]), begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
 
     def placed(x: Column, at: Column) -> Column:
-        start = at + F.length(x["raw"]) - F.length(F.regexp_replace(x["raw"], r"(?U)^\s+", ""))
+        start = at + F.length(x["raw"]) - F.length(F.ltrim(x["raw"], F.lit(SPACE)))
         return F.struct(x["own"].alias("text"), start.alias("start"), (start + F.length(x["own"])).alias("end"))
 
     found = F.filter(F.zip_with(parts, starts, placed), lambda s: s["text"] != "")
@@ -122,7 +126,7 @@ def before(text: Column, pattern: str) -> Column:
 
 def complaint_span(text: Column) -> Column:
     """(detected, text, start, end, trigger, severity): from the first contrast marker, or else the gravest defect signal, to the sentence's end."""
-    rtrim = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
+    rtrim = lambda x: F.rtrim(x, F.lit(SPACE))
 
     def span(pattern: str, trigger: Column, tier: Column | None) -> tuple[Column, Column]:
         start = F.length(before(text, pattern))
