@@ -18,22 +18,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_as_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order line as a review: priority is the rating, the return flag the sentiment, the part's type the theme."""
+def orders_as_reviews(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """An order line as a review: priority is the rating, the return flag the sentiment, the part's type the theme.
+
+    columns: those wanted (default: all); tables that none of them needs aren't joined, as each line has one row in every one.
+    """
     t = lambda n: read(spark, sf_dir, n)
     flag = F.col("l_returnflag")
-    joined = (
-        t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    )
-    return joined.select(
-        "l_orderkey", "l_linenumber", F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("theme"), F.col("n_name").alias("channel"),
-        quarter_label(F.col("o_orderdate")).alias("batch"), F.col("o_orderdate").alias("created_at"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rating"),
-        F.when(flag == "R", "NEGATIVE").when(flag == "A", "NEUTRAL").otherwise("POSITIVE").alias("sentiment"), F.col("l_quantity").alias("quantity"),
-    )
+    of = {
+        "l_orderkey": F.col("l_orderkey"), "l_linenumber": F.col("l_linenumber"), "product_name": F.col("p_name"), "brand": F.col("p_brand"), "theme": F.col("p_type"), "channel": F.col("n_name"),
+        "batch": quarter_label(F.col("o_orderdate")), "created_at": F.col("o_orderdate"), "rating": F.substring("o_orderpriority", 1, 1).cast("int"),
+        "sentiment": F.when(flag == "R", "NEGATIVE").when(flag == "A", "NEUTRAL").otherwise("POSITIVE"), "quantity": F.col("l_quantity"),
+    }
+    wanted = columns or tuple(of)
+    out = t("lineitem")
+    if {"batch", "created_at", "rating"} & set(wanted):
+        out = out.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if {"product_name", "brand", "theme"} & set(wanted):
+        out = out.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    if "channel" in wanted:
+        out = out.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return out.select(*(of[c].alias(c) for c in wanted))
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

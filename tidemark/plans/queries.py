@@ -42,38 +42,38 @@ COUNTS = ", ".join(f"count(*) FILTER (sentiment = '{s}') AS {s.lower()}_count" f
 
 @query(R + f", t AS (SELECT batch, count(*) AS review_count, {COUNTS} FROM r GROUP BY batch) SELECT *, round(negative_count * 100.0 / review_count, 1) AS negative_rate FROM t")
 def a12_cohort_timeline(spark, sf):
-    r = orders_as_reviews(spark, sf).groupBy("batch").agg(F.count("*").alias("review_count"), *A.counted("sentiment"))
+    r = orders_as_reviews(spark, sf, "batch", "sentiment").groupBy("batch").agg(F.count("*").alias("review_count"), *A.counted("sentiment"))
     return r.withColumn("negative_rate", F.round(F.col("negative_count") * 100.0 / F.col("review_count"), 1))
 
 
 @query(R + f", t AS (SELECT count(*) AS total, {COUNTS} FROM r) SELECT *, {pct('positive_count', 'total')} AS positive_rate, {pct('negative_count', 'total')} AS negative_rate FROM t")
 def a1_sentiment_summary(spark, sf):
-    return A.sentiment_summary(orders_as_reviews(spark, sf))
+    return A.sentiment_summary(orders_as_reviews(spark, sf, "sentiment"))
 
 
 @query(R + f"SELECT s.star::INTEGER AS star, count(r.rating) AS n, {pct('count(r.rating)', '(SELECT count(*) FROM r)')} AS percent FROM generate_series(1, 5) s(star) LEFT JOIN r ON r.rating = s.star GROUP BY s.star")
 def a3_rating_distribution(spark, sf):
-    return A.rating_distribution(orders_as_reviews(spark, sf))
+    return A.rating_distribution(orders_as_reviews(spark, sf, "rating"))
 
 
 @query(R + "SELECT channel AS label, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (sentiment = '{s}') * 100.0 / count(*), 2) AS {s[:3].lower()}" for s in A.SENTIMENTS) + " FROM r GROUP BY channel")
 def a4_sentiment_by_channel(spark, sf):
-    return A.sentiment_by(orders_as_reviews(spark, sf), "channel")
+    return A.sentiment_by(orders_as_reviews(spark, sf, "channel", "sentiment"), "channel")
 
 
 @query(R + "SELECT batch AS label, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (sentiment = '{s}') * 100.0 / count(*), 2) AS {s[:3].lower()}" for s in A.SENTIMENTS) + " FROM r GROUP BY batch")
 def a5_sentiment_trend(spark, sf):
-    return A.sentiment_by(orders_as_reviews(spark, sf), "batch")
+    return A.sentiment_by(orders_as_reviews(spark, sf, "batch", "sentiment"), "batch")
 
 
 @query(R + f", t AS (SELECT theme, count(*) AS review_count, {COUNTS} FROM r GROUP BY theme) SELECT *, {pct('negative_count', 'review_count')} AS negative_rate FROM t")
 def a9_theme_summary(spark, sf):
-    return A.theme_summary(orders_as_reviews(spark, sf))
+    return A.theme_summary(orders_as_reviews(spark, sf, "theme", "sentiment"))
 
 
 @query(R + "SELECT batch, theme, count(*) AS n FROM r GROUP BY ALL")
 def a11_theme_distribution(spark, sf):
-    return D.distributions(orders_as_reviews(spark, sf))
+    return D.distributions(orders_as_reviews(spark, sf, "batch", "theme"))
 
 
 @query(R + """, t AS (SELECT product_name, count(*) AS n, round(avg(rating), 2) AS avg_rating, count(*) FILTER (sentiment = 'NEGATIVE') AS complaints,
@@ -81,12 +81,12 @@ def a11_theme_distribution(spark, sf):
  u AS (SELECT *, round(complaints * 100.0 / n, 1) AS defect_pct FROM t)
  SELECT product_name, n, avg_rating, complaints, defect_pct, coalesce(cohorts, '') AS cohorts, CASE WHEN defect_pct >= 40 THEN 'HIGH' WHEN defect_pct >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM u""")
 def a14_product_matrix(spark, sf):
-    return A.product_matrix(orders_as_reviews(spark, sf))
+    return A.product_matrix(orders_as_reviews(spark, sf, "product_name", "rating", "sentiment", "batch"))
 
 
 @query(R + f", t AS (SELECT rating AS star, count(*) AS n, count(*) FILTER (sentiment = 'NEGATIVE') AS complaints FROM r GROUP BY rating) SELECT star, n, complaints, {pct('(SELECT sum(complaints) FROM t WHERE star >= 4)', '(SELECT sum(complaints) FROM t)')} AS hidden_pct FROM t")
 def a15_rating_divergence(spark, sf):
-    return A.rating_divergence(orders_as_reviews(spark, sf))
+    return A.rating_divergence(orders_as_reviews(spark, sf, "rating", "sentiment"))
 
 
 SIDE = "CASE WHEN batch < '1998-Q1' THEN 'A' ELSE 'B' END"
@@ -95,7 +95,7 @@ STATS = f"s AS (SELECT {SIDE} AS side, count(*) AS n, round(avg(coalesce(rating,
 
 @query(R + f", {STATS} SELECT * FROM s")
 def a16_cohort_stats(spark, sf):
-    return A.cohort_stats(orders_as_reviews(spark, sf), F.expr(SIDE))
+    return A.cohort_stats(orders_as_reviews(spark, sf, "batch", "rating", "sentiment"), F.expr(SIDE))
 
 
 @query(R + f""", o AS (SELECT theme, {SIDE} AS side FROM r), n AS (SELECT count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM o),
@@ -103,13 +103,13 @@ def a16_cohort_stats(spark, sf):
  d AS (SELECT *, round(pct_b - pct_a, 2) AS delta_pp, round(pct_b / greatest(pct_a, 0.001), 2) AS ratio FROM p)
  SELECT *, CASE WHEN delta_pp >= 1.5 THEN 'SURGE' WHEN delta_pp <= -1.5 THEN 'DROP' ELSE 'STABLE' END AS direction FROM d ORDER BY abs(delta_pp) DESC, theme LIMIT 6""")
 def a17_topic_shifts(spark, sf):
-    return A.topic_shifts(orders_as_reviews(spark, sf), F.expr(SIDE))
+    return A.topic_shifts(orders_as_reviews(spark, sf, "batch", "theme"), F.expr(SIDE))
 
 
 @query(R + f""", {STATS}, v AS (SELECT round(max(avg_rating) FILTER (side = 'B') - max(avg_rating) FILTER (side = 'A'), 2) AS rating_delta, round(max(negative_pct) FILTER (side = 'B') - max(negative_pct) FILTER (side = 'A'), 1) AS negative_delta FROM s)
  SELECT *, CASE WHEN rating_delta <= -0.2 OR negative_delta >= 4 THEN 'REGRESSED' WHEN rating_delta >= 0.2 OR negative_delta <= -4 THEN 'IMPROVED' ELSE 'STABLE' END AS verdict FROM v""")
 def a18_verdict(spark, sf):
-    return A.verdict(A.cohort_stats(orders_as_reviews(spark, sf), F.expr(SIDE)))
+    return A.verdict(A.cohort_stats(orders_as_reviews(spark, sf, "batch", "rating", "sentiment"), F.expr(SIDE)))
 
 
 @query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,15}')) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 60")
@@ -129,7 +129,7 @@ def a32_resample_by_year(spark, sf):
 
 @query(R + "SELECT DISTINCT batch FROM r")
 def a39_cohorts(spark, sf):
-    return orders_as_reviews(spark, sf).select("batch").distinct()
+    return orders_as_reviews(spark, sf, "batch").select("batch").distinct()
 
 
 PAIRS = """, c AS (SELECT batch, theme, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT batch, sum(n) AS nt FROM c GROUP BY batch),
@@ -146,7 +146,7 @@ LINE = PAIRS + f""", m AS (SELECT batch, greatest(0, sum((kt / nt - kb / nb) * l
 
 @query(R + LINE + " SELECT * FROM line")
 def d1_d3_drift_timeline(spark, sf):
-    return D.timeline(orders_as_reviews(spark, sf))
+    return D.timeline(orders_as_reviews(spark, sf, "batch", "theme", "sentiment"))
 
 
 def log_choose(n: str, k: str) -> str:
@@ -172,7 +172,7 @@ BRANDS = R.replace("WITH r AS", "WITH r0 AS") + ", r AS (SELECT substr(batch, 1,
 
 
 def brands(spark, sf):
-    return D.distributions(orders_as_reviews(spark, sf).withColumn("batch", F.substring("batch", 1, 4)), "batch", "brand")
+    return D.distributions(orders_as_reviews(spark, sf, "batch", "brand").withColumn("batch", F.substring("batch", 1, 4)), "batch", "brand")
 
 
 @query(BRANDS + " SELECT * FROM att")
@@ -185,7 +185,7 @@ MOVED = R.replace("WITH r AS", "WITH r0 AS") + ", r AS (SELECT batch, CASE WHEN
 
 
 def moved_reviews(spark, sf):
-    r = orders_as_reviews(spark, sf)
+    r = orders_as_reviews(spark, sf, "batch", "brand", "sentiment", "l_orderkey")
     return r.select("batch", F.when((F.right("batch", F.lit(1)) == "2") & (F.col("l_orderkey") % 3 == 0), "Surge").otherwise(F.col("brand")).alias("theme"), "sentiment")
 
 
@@ -210,7 +210,7 @@ def v11_psi_band(spark, sf):
 
 @query(R.replace("WITH r AS", "WITH r0 AS") + ", r AS (SELECT CASE right(batch, 2) WHEN 'Q3' THEN '000000|Q3' WHEN 'Q1' THEN '000001|Q1' WHEN 'Q4' THEN '000002|Q4' END AS batch, brand AS theme, sentiment FROM r0 WHERE right(batch, 2) <> 'Q2')" + PAIRS + " SELECT batch, any_value(previous) AS previous, round(greatest(0, sum((kt / nt - kb / nb) * ln((kt / nt + 1e-4) / (kb / nb + 1e-4)))), 6) AS psi FROM p WHERE previous IS NOT NULL GROUP BY batch")
 def d2_explicit_order(spark, sf):
-    r = orders_as_reviews(spark, sf).select(F.right("batch", F.lit(2)).alias("batch"), F.col("brand").alias("theme"))
+    r = orders_as_reviews(spark, sf, "batch", "brand").select(F.right("batch", F.lit(2)).alias("batch"), F.col("brand").alias("theme"))
     own = D.pairs(D.explicit_order(D.distributions(r), ["Q3", "Q1", "Q4"])).filter("previous is not null")
     return own.groupBy("batch").agg(F.first("previous").alias("previous"), F.round(D.psi(F.col("kt"), F.col("nt"), F.col("kb"), F.col("nb")), 6).alias("psi"))
 
@@ -218,7 +218,7 @@ def d2_explicit_order(spark, sf):
 @query(R + """, c AS (SELECT brand, coalesce(channel, 'General') AS channel, count(*) AS k FROM r GROUP BY ALL), w AS (SELECT *, sum(k) OVER (PARTITION BY brand)::BIGINT AS n, sum(k) OVER (PARTITION BY channel)::BIGINT AS b, sum(k) OVER ()::BIGINT AS t, row_number() OVER (PARTITION BY brand ORDER BY k DESC, channel) AS turn FROM c), f AS (SELECT * FROM w WHERE turn = 1), """ + fisher_sql("f", "k", "(n - k)", "(b - k)", "(t - n - (b - k))") + """,
  y AS (SELECT *, (k / n) / greatest((b - k) / greatest(t - n, 1), 1e-4) AS risk FROM z) SELECT brand, CASE WHEN n < 3 THEN 'Omnichannel' ELSE channel END AS batch, n, CASE WHEN p < 0.05 AND n >= 3 AND risk >= 1.5 THEN round(risk, 2) ELSE 1.0 END AS relative_risk, p < 0.05 AND n >= 3 AND risk >= 1.5 AS significant FROM y""")
 def d6_relative_risk(spark, sf):
-    return D.relative_risk(orders_as_reviews(spark, sf), "brand", "channel")
+    return D.relative_risk(orders_as_reviews(spark, sf, "brand", "channel"), "brand", "channel")
 
 
 @query(R + """, b AS (SELECT avg((sentiment = 'NEGATIVE')::INTEGER) AS base FROM r), t AS (SELECT theme, count(*) AS volume, avg((sentiment = 'NEGATIVE')::INTEGER) AS f FROM r GROUP BY theme),
@@ -226,7 +226,7 @@ def d6_relative_risk(spark, sf):
  CASE WHEN base > 0 AND volume >= 25 THEN CASE WHEN f / base >= 3 AND f >= 0.1 AND volume >= 100 THEN 2 WHEN f / base >= 1.25 THEN 1 ELSE 0 END ELSE 0 END AS lift_rank FROM t, b)
  SELECT theme, volume, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][greatest(base_rank, lift_rank) + 1] AS severity, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][base_rank + 1] AS simple FROM k""")
 def d8_d10_theme_severity(spark, sf):
-    r = orders_as_reviews(spark, sf)
+    r = orders_as_reviews(spark, sf, "theme", "sentiment")
     bad = F.avg((F.col("sentiment") == "NEGATIVE").cast("int"))
     t = r.groupBy("theme").agg(F.count("*").alias("volume"), bad.alias("f")).crossJoin(F.broadcast(r.agg(bad.alias("base"))))
     return t.select("theme", "volume", S.theme_severity(F.col("f"), F.col("volume"), F.col("base")).alias("severity"), S.simple_severity(F.col("f"), F.col("volume")).alias("simple"))
@@ -235,7 +235,7 @@ def d8_d10_theme_severity(spark, sf):
 @query(R + """, t AS (SELECT brand, count(*) FILTER (sentiment = 'NEGATIVE') AS n FROM r GROUP BY brand), u AS (SELECT *, sum(n) OVER () AS total FROM t)
  SELECT brand, n, CASE WHEN n / total >= 0.2 AND n >= 3 THEN 'CRITICAL' WHEN n / total >= 0.14 AND n >= 2 THEN 'HIGH' WHEN n / total >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM u""")
 def d9_complaint_severity(spark, sf):
-    t = orders_as_reviews(spark, sf).groupBy("brand").agg(F.count_if(F.col("sentiment") == "NEGATIVE").alias("n"))
+    t = orders_as_reviews(spark, sf, "brand", "sentiment").groupBy("brand").agg(F.count_if(F.col("sentiment") == "NEGATIVE").alias("n"))
     t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("total"))))
     return t.select("brand", "n", S.complaint_severity(F.col("n"), F.col("total")).alias("severity"))
 
@@ -247,7 +247,7 @@ def d9_complaint_severity(spark, sf):
  SELECT title, n, priority, blast_radius_pct, impact_score, effort, CASE effort WHEN 'LOW' THEN 3 WHEN 'MEDIUM' THEN 5 ELSE 13 END AS story_points, round(n * 2.7::DOUBLE / greatest(total, 1), 3) AS csat_lift,
  CASE WHEN impact_score >= 50 AND effort <> 'HIGH' THEN 'QUICK_WIN' WHEN priority = 'P0' OR (impact_score >= 60 AND effort = 'HIGH') THEN 'CRITICAL_BLOCKER' WHEN effort = 'HIGH' AND impact_score < 50 THEN 'STRATEGIC_REVAMP' ELSE 'QUALITY_OF_LIFE' END AS quadrant FROM w""")
 def a22_action_matrix(spark, sf):
-    t = orders_as_reviews(spark, sf).groupBy(F.col("theme").alias("title")).agg(F.count_if(F.col("sentiment") == "NEGATIVE").alias("n"))
+    t = orders_as_reviews(spark, sf, "theme", "sentiment").groupBy(F.col("theme").alias("title")).agg(F.count_if(F.col("sentiment") == "NEGATIVE").alias("n"))
     t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("total")))).withColumn("priority", F.concat(F.lit("P"), (F.col("n") % 4).cast("string")))
     return t.withColumns(S.action_columns(F.col("title"), F.col("n"), F.col("priority"), F.col("total"))).drop("total")
 
@@ -288,7 +288,7 @@ def q13_filtered_search(spark, sf):
 
 @query(R + "SELECT l_orderkey, l_linenumber, rating, theme FROM r WHERE rating >= 4 AND sentiment = 'NEGATIVE' ORDER BY l_orderkey, l_linenumber LIMIT 50")
 def q16_silent_defects(spark, sf):
-    return orders_as_reviews(spark, sf).filter("rating >= 4 AND sentiment = 'NEGATIVE'").select("l_orderkey", "l_linenumber", "rating", "theme").orderBy("l_orderkey", "l_linenumber").limit(50)
+    return orders_as_reviews(spark, sf, "l_orderkey", "l_linenumber", "rating", "theme", "sentiment").filter("rating >= 4 AND sentiment = 'NEGATIVE'").select("l_orderkey", "l_linenumber", "rating", "theme").orderBy("l_orderkey", "l_linenumber").limit(50)
 
 
 @query()
@@ -380,13 +380,13 @@ def w2_first_rows(spark, sf):
 
 @query(R + ", t AS (SELECT batch, round(avg(rating), 4) AS mean FROM r GROUP BY batch) SELECT batch, mean, round(mean - lag(mean) OVER (ORDER BY batch), 4) AS delta FROM t")
 def w4_w6_previous_cohort(spark, sf):
-    t = orders_as_reviews(spark, sf).groupBy("batch").agg(F.round(F.avg("rating"), 4).alias("mean"))
+    t = orders_as_reviews(spark, sf, "batch", "rating").groupBy("batch").agg(F.round(F.avg("rating"), 4).alias("mean"))
     return t.withColumn("delta", F.round(F.col("mean") - F.lag("mean").over(W.orderBy("batch")), 4))
 
 
 @query(R + "SELECT theme, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS share FROM r GROUP BY theme")
 def w8_share_of_total(spark, sf):
-    t = orders_as_reviews(spark, sf).groupBy("theme").agg(F.count("*").alias("n"))
+    t = orders_as_reviews(spark, sf, "theme").groupBy("theme").agg(F.count("*").alias("n"))
     return t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("all")))).select("theme", "n", F.round(F.col("n") * 100.0 / F.col("all"), 4).alias("share"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.artifacts import bounded
+
 HEAD = 4096
 ENVELOPES = ("reviews", "data", "items", "records", "feedback", "results")
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1", "cp1252")
@@ -84,7 +86,7 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("reading Excel files needs openpyxl") from e
     import pandas as pd
 
-    return spark.createDataFrame(pd.read_excel(path, dtype=str))
+    return spark.createDataFrame(pd.read_excel(bounded(spark, path), dtype=str))  # the driver holds at most so many bytes of it
 
 
 def read_any(spark: SparkSession, source: str | DataFrame) -> tuple[DataFrame, str]:
