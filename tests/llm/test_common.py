@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from tidemark.llm.common import Ranges, Scratch, components, shared_dir
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import Ranges, Scratch, components, shared_dir, spread_join
 
 
 @pytest.mark.parametrize("one_task", [0, 10**6])
@@ -39,3 +41,14 @@ def test_ranges_of_ids(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_spread_join_equals_a_join(spark):
+    rng = random.Random(2)
+    many = [(rng.choice([0, 0, 0, 1, *range(2, 300)]), i) for i in range(3000)]
+    count = {k: sum(x == k for x, _ in many) for k, _ in many}
+    few = spark.createDataFrame([(k, n, f"v{k}") for k, n in count.items() if k % 7 != 5], "k int, n int, v string")
+    got = spread_join(spark.createDataFrame(many, "k int, i int"), few, "k", "n", F.col("i"))
+    assert sorted(got.columns) == ["i", "k", "n", "v"]
+    assert sorted((r.k, r.i, r.v) for r in got.collect()) == sorted((k, i, f"v{k}") for k, i in many if k % 7 != 5)
+    assert spread_join(got.select("k", "i"), few.limit(0), "k", "n", F.col("i")).collect() == []

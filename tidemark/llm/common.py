@@ -118,6 +118,24 @@ def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) ->
             return labels.drop("changed")
 
 
+HEAVY, WAYS = 4096, 64
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
+    """many joined with few by key, where few has each key once and count, the number of rows of many that have it.
+
+    Keys that at least a HEAVYth of these rows have are at most HEAVY, whatever the data; they go to all tasks, and their
+    rows are dealt WAYS ways by the hash of spread, each way with a copy of the key's row. The others are joined as they are.
+    few is read twice.
+    """
+    total = few.agg((F.sum(count) / HEAVY).alias("__least"))
+    heavy = few.select(key, count).crossJoin(F.broadcast(total)).filter(F.col(count) >= F.col("__least")).select(key, F.lit(True).alias("__heavy"))
+    own = many.join(F.broadcast(heavy), key, "left").withColumn("__way", F.when(F.col("__heavy"), F.pmod(F.xxhash64(spread), F.lit(WAYS)).cast("int")).otherwise(0))
+    ways = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    copies = few.join(F.broadcast(heavy), key, "left").select(*few.columns, F.explode(ways).alias("__way"))
+    return own.join(copies, [key, "__way"]).drop("__way", "__heavy")
+
+
 class Ranges:
     """Ranges of at most about so many rows of a long column, numbered from 0, for tables that have the column.
 

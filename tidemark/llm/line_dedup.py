@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, spread_join
 
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)  # of the hash of a run of lines
 ROWS = 1 << 16
@@ -154,8 +154,11 @@ def outlines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.filter("d is not null and text is not null").mapInArrow(run, "d long, t long, lines array<long>, words array<int>").dropDuplicates(["d", "t"])
 
 
-def partners(outline: DataFrame, least: int) -> DataFrame:
-    """(d, t, e, u): each document with the first holders of its windows, where these are earlier."""
+def partners(scratch: Scratch, outline: DataFrame, least: int) -> DataFrame:
+    """(d, t, e, u): each document with the first holders of its windows, where these are earlier.
+
+    Windows that very many documents have are spread, so that no task has all their holders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
@@ -175,8 +178,9 @@ def partners(outline: DataFrame, least: int) -> DataFrame:
         yield told()
 
     window = outline.select("d", "t", "lines", "words").mapInArrow(run, "h long, d long, t long")
-    spread = window.groupBy("h").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("final")).filter("first != final")
-    seen = window.join(spread.select("h", F.col("first.d").alias("e"), F.col("first.t").alias("u")), "h").filter("e < d or e = d and u < t")
+    spread = window.groupBy("h").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("final"), F.count("*").alias("n")).filter("first != final")
+    spread = scratch.save(spread.select("h", "n", F.col("first.d").alias("e"), F.col("first.t").alias("u")), "windows")
+    seen = spread_join(window, spread, "h", "n", F.col("d")).filter("e < d or e = d and u < t")
     return seen.select("d", "t", "e", "u").distinct()
 
 
@@ -205,9 +209,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     outline = scratch.save(outlines(docs, id_col, text_col), "outlines")
-    pairs = scratch.save(partners(outline, least), "pairs")
+    pairs = scratch.save(partners(scratch, outline, least), "pairs")
     cut = scratch.save(cuts(outline, pairs, least), "cuts")
-    scratch.drop(outline, pairs)
+    scratch.drop(*(x for x, _ in list(scratch.paths.values()) if x is not cut))
     # the cuts grow with the corpus, so they are joined in the same way at every size: never sent to all tasks
     key = {"__d": F.col(id_col).cast("long"), "__t": F.xxhash64(text_col)}
     joined = docs.withColumns(key).join(cut.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("cut").alias("__cut")).hint("merge"), ["__d", "__t"], "left")

@@ -4,9 +4,9 @@ The id stream of each document, its end id included, is cut where a rolling hash
 bits, so equal passages give equal chunks wherever they stand. A chunk is named by the first 16 bytes of the SHA-256 of its
 ids, little-endian in 2 bytes (4, if the vocabulary needs it), and every different chunk is stored once:
 
-  packs/pack=N   a row for each document, in ascending id order: its recipe (the names and lengths of its chunks), its Merkle
-                 root, and inline the bytes of the chunks that occur in this document only
-  shared         the bytes of every chunk that occurs in several documents, by name
+  data           a row for each document, in ascending id order: its recipe (the names and lengths of its chunks), its Merkle
+                 root, and inline the bytes of the chunks that occur once; and a row for each chunk that occurs several times,
+                 with its name, its bytes and how often it does
   manifest       a row for each pack: how many documents and ids it has, and the Merkle root over its documents' roots
 
 Lists of names and of lengths are kept as one binary value each. Packs are ranges of ids of about as many documents each. Reading names every chunk again from its bytes, builds the roots
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters, lowers
-from tidemark.llm.common import Ranges, Scratch, importable
+from tidemark.llm.common import Ranges, Scratch, importable, spread_join
 from tidemark.llm.words import Words, even, groups, pieces
 
 WINDOW, LEADING, LEAST, MOST = 5, 8, 64, 4096  # a window of 2**5 ids; least and most ids of a chunk
@@ -175,8 +175,8 @@ def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: s
     ranges = Ranges(scratch, docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", rows)
     staged = scratch.save(encoded(docs, path, end_id, id_col, text_col), "staged")
     chunk = staged.select("doc_id", F.explode(each(F.col("names"))).alias("name"))
-    often = chunk.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").drop("n")
-    common = chunk.join(often, "name").select("doc_id", F.struct("name", F.col("doc_id").eqNullSafe(F.col("first")).alias("own")).alias("c"))
+    often = scratch.save(chunk.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"), "often")
+    common = spread_join(chunk, often, "name", "n", F.col("doc_id")).select("doc_id", F.struct("name", F.col("doc_id").eqNullSafe(F.col("first")).alias("own"), "n").alias("c"))
     common = common.groupBy("doc_id").agg(F.collect_set("c").alias("common"))
     none = F.lit(None).cast("binary")
     told = common.select("doc_id", none.alias("packed"), none.alias("sizes"), none.alias("names"), "common")
@@ -186,16 +186,16 @@ def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks that a document is the first to hold go out as rows, other common ones not at all."""
-        doc, shared, owned, here, place, open_ = object(), set(), set(), None, 0, zstandard.ZstdDecompressor()
+        doc, shared, owned, here, place, open_ = object(), set(), {}, None, 0, zstandard.ZstdDecompressor()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 out = []
                 for d, packed, sizes, names, told, pack in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns), strict=True):
                     if d != doc:
-                        doc, shared, owned = d, set(), set()
+                        doc, shared, owned = d, set(), {}
                     if packed is None:
                         shared = {c["name"] for c in told}
-                        owned = {c["name"] for c in told if c["own"]}
+                        owned = {c["name"]: c["n"] for c in told if c["own"]}
                         continue
                     here, place = pack, place + 1 if pack == here else 0
                     data, ends = open_.decompress(packed), np.frombuffer(sizes, "<i4").cumsum()
@@ -207,8 +207,7 @@ def write_store(docs: DataFrame, path: str, top: str, end_id: int = 1, id_col: s
                             if name not in shared:
                                 inline.append(data[a:b])
                             elif name in owned:
-                                owned.remove(name)
-                                out.append((pack, None, None, None, None, None, None, None, name, data[a:b]))
+                                out.append((pack, None, None, owned.pop(name), None, None, None, None, name, data[a:b]))
                         inline, held = b"".join(inline), b"".join(sorted(shared.intersection(parts)))
                     out.append((pack, place, d, n, sizes, names, held, merkle(parts), None, inline))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(KINDS)], names=[x.split()[0] for x in STORED.split(", ")])
@@ -239,10 +238,10 @@ def read_store(spark, top: str, ids: bool = False) -> DataFrame:
     importable(spark)
     data = spark.read.schema(STORED).parquet(f"{top}/data")
     docs = data.filter("place is not null").drop("name")
-    shared = data.filter("place is null").select("name", F.col("data").alias("part"))
+    shared = data.filter("place is null").select("name", F.col("n_tokens").alias("n"), F.col("data").alias("part"))
     scratch = Scratch(spark, "token-read")
     wanted = docs.filter(F.octet_length("common") > 0).select("pack", "place", F.explode(each(F.col("common"))).alias("name"))
-    fetched = wanted.join(shared, "name").groupBy("pack", "place").agg(F.collect_list(F.struct("name", "part")).alias("parts"))
+    fetched = spread_join(wanted, shared, "name", "n", F.concat_ws("/", "pack", "place")).groupBy("pack", "place").agg(F.collect_list(F.struct("name", "part")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
