@@ -32,7 +32,7 @@ from xxhash import xxh3_64_intdigest
 from tidemark.llm.common import Scratch, components
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
-LEFT, RIGHT = 256, 1024  # members on either side of a block of comparisons
+LEFT, RIGHT = 128, 512  # members on either side of a block of comparisons
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
