@@ -29,8 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package wherever the driver found it."""
+    """Python workers find this package wherever the driver found it, and get batches of bounded bytes unless the session says how many."""
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))

@@ -27,7 +27,7 @@ from xxhash import xxh3_64_intdigest
 from tidemark.llm.common import Scratch, spread_join
 
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)  # of the hash of a run of lines
-ROWS = 1 << 16
+ROWS, SLICE = 1 << 16, 1000
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -144,11 +144,13 @@ def outlines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, lines, words) of each distinct document: id, hash of the text as tie-break, hash and words of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = [t.as_py().split(b"\n") for t in batch.column(2)]
-            hashes = [[xxh3_64_intdigest(x.strip()) >> 1 for x in own] for own in lines]
-            words = [[len(x.split()) for x in own] for own in lines]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["d", "t", "lines", "words"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                lines = [t.as_py().split(b"\n") for t in batch.column(2)]
+                hashes = [[xxh3_64_intdigest(x.strip()) >> 1 for x in own] for own in lines]
+                words = [[len(x.split()) for x in own] for own in lines]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["d", "t", "lines", "words"])
 
     own = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
     return own.filter("d is not null and text is not null").mapInArrow(run, "d long, t long, lines array<long>, words array<int>").dropDuplicates(["d", "t"])
@@ -189,7 +191,7 @@ def cuts(outline: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(cut_lines(e, x, w, least)) for e, x, w in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            found = [sorted(cut_lines(e.as_py(), x.as_py(), w.as_py(), least)) for e, x, w in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["d", "t", "cut"])
 
     earlier = outline.select(F.col("d").alias("e"), F.col("t").alias("u"), F.col("lines").alias("earlier"))

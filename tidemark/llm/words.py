@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUNS, BESIDE = r"([^\pL\pN\s']+)", r"'[^\pL\pN\s]|[^\pL\pN\s]'"  # runs of marks; an apostrophe beside another mark
-LIMIT, LONGEST = 1_000_000, 48  # words that are remembered; bytes of such a word
+LIMIT, LONGEST = 500_000, 48  # words that are remembered; bytes of such a word
 GROUP = 16 << 20
 
 
